@@ -17,9 +17,10 @@ equal sets form a class; all later work is on classes. Two classes link when
     tolerate one difference more for every segment, at the cost of a signature a shingle; if even
     that falls short, its empty segments too. Both ends of a link that shares no non-empty segment
     are short, so both take the dearer allocation.
-4.  *Verification.* Signatures with the same members are one group. Rounds test the group's
-    centre against the other members on the whole sets; members that are linked already, directly
-    or through others, need no test. Rounds end when no group has two components left untested.
+4.  *Verification.* Signatures with the same members are one group. Rounds test a group's
+    centres, 1, 8, 64 ... of them, against the other members on the whole sets; members that are
+    linked already, directly or through others, need no test, and centres leave the group. Rounds
+    end when no group has members of two components left.
 5.  *Components* of the verified links by repeated star contraction.
 """
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, mix, slices, small, utf8, word_hashes
 
@@ -60,7 +62,7 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.n
             x.sort()
             x = x[np.append(True, x[1:] != x[:-1])]
         elif words:
-            x = mix((hashes[at : at + words] * _ODD[:words]).sum(keepdims=True) + _ODD[k] * _U(words))
+            x = mix((hashes[at : at + words] * _ODD[:words]).sum(keepdims=True) + _ODD[k : k + 1] * _U(words))
         else:
             continue
         sizes[i] = len(x)
@@ -206,10 +208,11 @@ def signatures(members: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("c1").to_numpy(zero_copy_only=False)
-        keys = [signatures(np.frombuffer(x, _U)) for x in batch.column("members").to_pylist()]
+        sets = [np.frombuffer(x, _U) for x in batch.column("members").to_pylist()]
+        keys, sizes = [signatures(x) for x in sets], [len(x) for x in sets]
         if keys:
             per = [len(x) for x in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, per))], names=["key", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per), pa.int32())], names=["key", "c1", "n"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,32 +252,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return leaves.unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
-def _links(sets: DataFrame, classes: int) -> DataFrame:
-    """(a, b): verified links that connect what any links connect; and the components (node, comp)."""
-    signed = sets.select("c1", "members").mapInArrow(_sign, "key long, c1 long")
-    keys = signed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c1")).alias("x"), F.min("c1").alias("least"))
-    keys = keys.where("n > 1").groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key")
+def _links(sets: DataFrame, classes: int) -> DataFrame | None:
+    """(node, comp): the components of all links between classes; None if nothing was linked."""
+    signed = sets.select("c1", "members").mapInArrow(_sign, "key long, c1 long, n int")
+    keys = signed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("c1")).alias("x"), F.min("c1").alias("least"))
+    keys = keys.where("size > 1").groupBy("size", "x", "least").agg(F.min("key").alias("key")).select("key")
     keys = cut(keys)
     groups = cut(signed.join(small(keys), "key"))
     lookup = sets.select("c1", "members")
-    links, comps = None, None
+    links, comps, tested, centres = None, None, None, 1
     while True:
-        # the centre: of the component with fewest members in the group, the least member
         if comps is not None:
-            placed = groups.join(small(comps), groups.c1 == comps.node, "left").select("key", "c1", F.coalesce("comp", "c1").alias("comp"))
+            placed = groups.join(small(comps), groups.c1 == comps.node, "left").select("key", "c1", "n", F.coalesce("comp", "c1").alias("comp"))
         else:
             placed = groups.withColumn("comp", F.col("c1"))
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("c1").alias("first"))
-        centre = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.min(F.struct("n", "first", "comp")).alias("c")).where("parts > 1").select("key", F.col("c.first").alias("centre"), F.col("c.comp").alias("of"))
-        todo = cut(placed.join(centre, "key"))
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+        todo = cut(placed.join(mixed, "key", "left_semi"))
         if todo.isEmpty():
             break
-        pairs = todo.where("comp <> of").select(F.col("centre").alias("a"), F.col("c1").alias("b")).distinct()
-        pairs = pairs.join(lookup.withColumnsRenamed({"c1": "b", "members": "q"}), "b").join(lookup.withColumnsRenamed({"c1": "a", "members": "p"}), "a")
-        found = cut(pairs.mapInArrow(_verify, "a long, b long"))
-        links = found if links is None else cut(links.unionByName(found))
+        # centres: members of the components that have fewest members in the group
+        order = Window.partitionBy("key").orderBy("size", "comp", "c1")
+        chosen = todo.join(parts, ["key", "comp"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres)
+        chosen = cut(chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m")))
+        pairs = todo.join(chosen, "key").where("comp <> of and 100 * least(n, m) >= 80 * greatest(n, m)")
+        pairs = pairs.select(F.least("a", "c1").alias("a"), F.greatest("a", "c1").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        both = pairs.join(lookup.withColumnsRenamed({"c1": "b", "members": "q"}), "b").join(lookup.withColumnsRenamed({"c1": "a", "members": "p"}), "a")
+        found = cut(both.mapInArrow(_verify, "a long, b long"))
+        links = found if links is None else links.unionByName(found)
         comps = cut(components(links))
-        groups = todo.where("c1 <> centre").select("key", "c1")
+        groups = todo.join(chosen, (todo.key == chosen.key) & (todo.c1 == chosen.a), "left_anti").select("key", "c1", "n")
+        centres *= 8
     return comps
 
 
