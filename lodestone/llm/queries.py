@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality
+from . import jaccard, mixing, quality, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    read = tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 
-_ALL = (op2_mixing, op3_quality_rules, op7_ngram_jaccard_join)
+_ALL = (op2_mixing, op3_quality_rules, op6_token_records, op7_ngram_jaccard_join)
 
 
 def queries() -> dict[str, Query]:
