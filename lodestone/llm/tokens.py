@@ -239,7 +239,7 @@ def _write(folder: str, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 out.write(struct.pack(_HEAD, _MAGIC, 1, width) + np.array(index, "<i8").tobytes())
             store.move(trial, f"{at}/{name}.rec")
             store.move(f"{trial}.idx", f"{at}/{name}.idx")
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), pa.array([len(index)]), pa.array([ids])], names=["part", "name", "records", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([name]), pa.array([len(index)]), pa.array([ids])], names=["part", "name", "records", "n_ids"])
         else:
             store.delete_file(trial)
 
