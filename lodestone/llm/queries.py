@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, suffix, tokens
+from . import jaccard, mixing, pieces, quality, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,17 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-_ALL = (op2_mixing, op3_quality_rules, op6_token_records, op7_ngram_jaccard_join, op10_suffix_array_dedup)
+_ALL = (op2_mixing, op3_quality_rules, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Query]:
