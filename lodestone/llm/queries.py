@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, mixing, pieces, quality, suffix, tokens
+from . import jaccard, language, mixing, pieces, quality, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    model = language.train(docs, usable=~held_out)
+    return language.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +50,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-_ALL = (op2_mixing, op3_quality_rules, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
+_ALL = (op2_mixing, op3_quality_rules, op4_language_id, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Query]:
