@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, pieces, quality, suffix, tokens
+from . import html, jaccard, language, mixing, pieces, quality, suffix, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-_ALL = (op2_mixing, op3_quality_rules, op4_language_id, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
+_ALL = (op2_mixing, op3_quality_rules, op4_language_id, op5_html_extraction, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Query]:
