@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, language, mixing, pieces, quality, suffix, tokens
+from . import html, jaccard, language, mixing, pieces, quality, suffix, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20, scale=64.0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-_ALL = (op2_mixing, op3_quality_rules, op4_language_id, op5_html_extraction, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
+_ALL = (op1_exact_top_k, op2_mixing, op3_quality_rules, op4_language_id, op5_html_extraction, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Query]:
