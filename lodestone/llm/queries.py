@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, language, mixing, pieces, quality, suffix, tokens, topk
+from . import html, jaccard, language, mixing, pieces, quality, suffix, tokens, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-_ALL = (op1_exact_top_k, op2_mixing, op3_quality_rules, op4_language_id, op5_html_extraction, op6_token_records, op7_ngram_jaccard_join, op9_sentencepiece, op10_suffix_array_dedup)
+_ALL = (op1_exact_top_k, op2_mixing, op3_quality_rules, op4_language_id, op5_html_extraction, op6_token_records, op7_ngram_jaccard_join, op8_url_filters, op9_sentencepiece, op10_suffix_array_dedup)
 
 
 def queries() -> dict[str, Query]:
