@@ -13,7 +13,7 @@ That holds for exactly one piece at each position, and ids equal the library's.
 with several marks (whose pieces have equal ranks) are merged pair by pair.
 
 Characters outside the vocabulary become their bytes' pieces, or the unknown id. A worker keeps
-the ids of words it met, up to a bound; beyond it the store is emptied.
+the ids of words it met, in two generations of bounded size.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import Kept
+
 MARK = "▁"
-KEPT = 500_000
+KEPT = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _BAD = -1
 
@@ -78,7 +80,7 @@ class Codec:
         alone = not any("\n" in p for p in self.ids)
         self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.penalty = min(self.score.values(), default=0.0) - 10.0
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(KEPT)
         self.joins: dict[tuple[str, str], bool] = {}
         self.dtype = "<u2" if len(pieces) <= 1 << 16 else "<u4"
 
@@ -175,10 +177,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, packed."""
         cut = [self.words.findall((MARK if self.dummy_prefix else "") + x.replace(" ", MARK)) if x else [] for x in texts]
-        new = set().union(*cut).difference(self.kept)
-        if len(new) + len(self.kept) > KEPT:
-            self.kept.clear()
-            new = set().union(*cut)
+        new = self.kept.lacking(set().union(*cut))
         self.kept.update(self.encode_words(sorted(new)))
         return [b"".join(map(self.kept.__getitem__, x)) for x in cut]
 

@@ -13,6 +13,7 @@ that a lost executor's files are simply written again.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .common import shared_dir
 
-#: Words kept with their ids in each Python worker; beyond that the store is emptied.
+#: Words kept with their ids in each Python worker, in either of two generations.
 KEPT_WORDS = 400_000
 _MAGIC = b"LODEIDX1"
 _HEAD = "<8sII"
@@ -145,94 +146,102 @@ def unframe(raw: bytes, offsets: list[int]) -> list[bytes]:
 
 # -- encoding
 
-#: Characters whose letters, case and normal form no Unicode version disputes; other words go to the library.
+#: Characters whose letters, case and normal form no Unicode version disputes; other words go to the library whole.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\s]+")
-_GAPS = {c: " " for c in "\t\n\x0b\x0c\r"}
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: White space to Python, but not to the tokenizer.
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
-class _Words(dict):
-    """Ids of words as bytes, encoded when first met."""
+class Kept(dict):
+    """A bounded store: when full it becomes the older generation, whose entries still serve."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def lacking(self, keys: set) -> set:
+        """Those of the keys that are in neither generation; the others are in the newer after this."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        again = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in again)
+        return new - again
+
+
+class Encoder:
+    """Ids of texts as bytes. Vocabularies of words with ends drop white space, so words are encoded alone and kept."""
 
     def __init__(self, path: str, dtype: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
-        self.parts: dict[str, bytes] = {}
-        self.split = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", open(path).read(1 << 14))
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if self.split and "<|" not in word and _PLAIN.match(word):
-            out = b""
-            for x in _PARTS.findall(word.lower()):
-                if (ids := self.parts.get(x)) is None:
-                    if len(self.parts) >= KEPT_WORDS:
-                        self.parts.clear()
-                    ids = self.parts[x] = self._encode(x)
-                out += ids
-        else:
-            out = self._encode(word)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = out
-        return out
+        self.words, self.parts = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
+        with open(path) as f:
+            self.split = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", f.read(1 << 14))
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(x.ids, self.dtype).tobytes() for x in encode(texts, add_special_tokens=False)]
 
-    def text(self, text: str) -> bytes:
+    def texts(self, texts: list[str]) -> list[bytes]:
         if not self.split:
-            return self._encode(text)
-        return b"".join(map(self.__getitem__, [x for x in text.translate(_GAPS).split(" ") if x]))
+            return self._library(texts)
+        whole = [i for i, x in enumerate(texts) if any(map(x.__contains__, _ODD_SPACE))]
+        cut = [x.split() for x in texts]
+        for i in whole:
+            cut[i] = []
+        lacking = self.words.lacking(set().union(*cut))
+        parts = {w: _PARTS.findall(w.lower()) if _PLAIN.match(w) and "<|" not in w else [w] for w in lacking}
+        new = list(self.parts.lacking(set().union(*parts.values())))
+        self.parts.update(zip(new, self._library(new), strict=True))
+        self.words.update((w, b"".join(map(self.parts.__getitem__, x))) for w, x in parts.items())
+        out = [b"".join(map(self.words.__getitem__, x)) for x in cut]
+        if whole:
+            for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+                out[i] = x
+        return out
 
 
-_encoders: dict[tuple[str, str], _Words] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, dtype: str) -> _Words:
-    """This worker's encoder; word-end vocabularies drop white space, so words are encoded alone and kept."""
+def encoder(path: str, dtype: str) -> Encoder:
+    """This worker's encoder."""
     if (path, dtype) not in _encoders:
-        _encoders[path, dtype] = _Words(path, dtype)
+        _encoders[path, dtype] = Encoder(path, dtype)
     return _encoders[path, dtype]
 
 
-def _encode(path: str, dtype: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, dtype)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [zlib.compress(e.text(x or "") + end, 1) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return run
-
-
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def _write(folder: str, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _write(path: str, folder: str, dtype: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     width = np.dtype(dtype).itemsize
+    end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        e = encoder(path, dtype)
         k = TaskContext.get().partitionId()
         store, at = _open(folder)
         trial = f"{at}/.trial-{k:05d}-{uuid.uuid4().hex}"
         index, offset, ids = [], 0, 0
         with store.open_output_stream(trial) as data:
             for batch in batches:
-                payloads = [zlib.decompress(x) for x in batch.column("ids").to_pylist()]
-                for doc, x, r in zip(batch.column("doc_id").to_pylist(), payloads, frame(payloads), strict=True):
-                    index.append((-1 << 63 if doc is None else doc, offset, len(x) // width))
-                    data.write(r)
-                    offset += len(r)
-                    ids += len(x) // width
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    payloads = [x + end for x in e.texts([x or "" for x in part.column("text").to_pylist()])]
+                    for doc, x, r in zip(part.column("doc_id").to_pylist(), payloads, frame(payloads), strict=True):
+                        index.append((-1 << 63 if doc is None else doc, offset, len(x) // width))
+                        data.write(r)
+                        offset += len(r)
+                        ids += len(x) // width
         name = f"ids-{k:05d}"
         if index:
             with store.open_output_stream(f"{trial}.idx") as out:
@@ -250,16 +259,16 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, *, text: st
     """Encodes whole texts and writes them in ascending doc_id order; (part, name, records, n_ids) per file.
 
     Null texts are empty and still get their record (and end id). A null doc_id comes first. Rows
-    with equal doc_ids are ordered by their ids. No rows, no files. ``dtype`` must hold all ids.
+    with equal doc_ids are ordered by a hash of their text. No rows, no files. ``dtype`` must hold
+    all ids. Texts are dealt out before they are encoded, as dealing by range reads its input twice.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_encode(tokenizer_path, dtype, end_id), "doc_id long, ids binary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "doc_id", F.crc32("ids")).sortWithinPartitions("doc_id", F.crc32("ids"), "ids")
+    rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     store, at = _open(folder)
     store.create_dir(at)
-    return rows.mapInArrow(_write(folder, dtype), "part int, name string, records long, n_ids long")
+    return rows.mapInArrow(_write(tokenizer_path, folder, dtype, end_id), "part int, name string, records long, n_ids long")
 
 
 def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
