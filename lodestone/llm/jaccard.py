@@ -19,8 +19,10 @@ equal sets form a class; all later work is on classes. Two classes link when
     are short, so both take the dearer allocation.
 4.  *Verification.* Signatures with the same members are one group. Rounds test a group's
     centres, 1, 8, 64 ... of them, against the other members on the whole sets; members that are
-    linked already, directly or through others, need no test, and centres leave the group. Rounds
-    end when no group has members of two components left.
+    linked already, directly or through others, need no test, and centres leave the group; nor do
+    two members with more than ``(r + s) / 9`` shingles that no other class has, as those are
+    differences. Members with the least share of such shingles (originals rather than edited
+    copies) are centres first. Rounds end when no group has members of two components left.
 5.  *Components* of the verified links by repeated star contraction.
 """
 
@@ -39,7 +41,7 @@ from .common import cut, mix, slices, small, utf8, word_hashes
 SHINGLE = 5
 PERCENT = 80
 #: Bytes of text a fingerprint bucket is meant for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 _U = np.uint64
 _ODD = mix(np.arange(11, 11 + SHINGLE + 2, dtype=_U)) | _U(1)
 
@@ -86,17 +88,23 @@ def _binary(x: np.ndarray) -> list[bytes]:
     return [raw[i : i + w] for i in range(0, len(raw), w)]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about ``most`` bytes of text, and their texts."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            texts = utf8(part.column("text"))
+            for a, b in slices(texts, most):
+                yield part.slice(a, b - a), texts[a:b]
+
+
 def _fingerprints(buckets: int):
     """Rows of documents (bucket, doc_id, th, n, cls) and of packed fingerprints (bucket, payload)."""
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column("text"))
-            parts = [shingle_sets(texts[a:b]) for a, b in slices(texts, 4 << 20)]
-            if not parts:
-                continue
-            sets, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for batch, texts in _parts(batches):
+            sets, sizes = shingle_sets(texts)
             cls = class_ids(sets, sizes)
             names = _binary(cls)
             rows = len(sizes)
@@ -123,7 +131,7 @@ def _fingerprints(buckets: int):
                     continue
                 who, local = np.unique(owner[lo:hi], return_inverse=True)
                 some.append(b)
-                payloads.append(np.array([len(who), hi - lo], np.int64).tobytes() + cls[who, 0].tobytes() + np.bincount(local).astype(np.int64).tobytes() + values[lo:hi].tobytes())
+                payloads.append(np.array([len(who), hi - lo], np.int64).tobytes() + cls[who, 0].tobytes() + np.bincount(local).astype(np.int32).tobytes() + values[lo:hi].tobytes())
             n = len(some)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(payloads, pa.binary())], schema=schema)
@@ -138,8 +146,8 @@ def _count_shared(group: pa.Table) -> pa.Table:
     for raw in group["payload"].drop_null().to_pylist():
         n, m = np.frombuffer(raw, np.int64, 2)
         names = np.frombuffer(raw, _U, n, 16)
-        counts = np.frombuffer(raw, np.int64, n, 16 + 8 * n)
-        fps.append(np.frombuffer(raw, np.uint32, m, 16 + 16 * n))
+        counts = np.frombuffer(raw, np.int32, n, 16 + 8 * n)
+        fps.append(np.frombuffer(raw, np.uint32, m, 16 + 12 * n))
         who.append(np.repeat(names, counts))
     keys, shared = np.zeros(0, _U), np.zeros(0, np.int64)
     if fps:
@@ -159,14 +167,12 @@ def _count_shared(group: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = utf8(batch.column("text"))
-        for a, b in slices(texts, 4 << 20):
-            sets, sizes = shingle_sets(texts[a:b])
-            cls = class_ids(sets, sizes)
-            ends = np.cumsum(sizes)
-            raw = [sets[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_binary(cls), pa.binary()), pa.array(np.ascontiguousarray(cls[:, 0]).view(np.int64)), pa.array(raw, pa.binary())], names=["cls", "c1", "members"])
+    for _, texts in _parts(batches):
+        sets, sizes = shingle_sets(texts)
+        cls = class_ids(sets, sizes)
+        ends = np.cumsum(sizes)
+        raw = [sets[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(_binary(cls), pa.binary()), pa.array(np.ascontiguousarray(cls[:, 0]).view(np.int64)), pa.array(raw, pa.binary())], names=["cls", "c1", "members"])
 
 
 def bands(largest: int) -> list[int]:
@@ -207,23 +213,25 @@ def signatures(members: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("c1").to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, _U) for x in batch.column("members").to_pylist()]
-        keys, sizes = [signatures(x) for x in sets], [len(x) for x in sets]
-        if keys:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            ids, own = (part.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "u"))
+            sets = [np.frombuffer(x, _U) for x in part.column("members").to_pylist()]
+            keys, sizes = [signatures(x) for x in sets], [len(x) for x in sets]
             per = [len(x) for x in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per), pa.int32())], names=["key", "c1", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per), pa.int32()), pa.array(np.repeat(own, per), pa.int32())], names=["key", "c1", "n", "u"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
-        for x, y, p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True):
-            p, q = np.frombuffer(p, _U), np.frombuffer(q, _U)
-            both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) * 100 >= PERCENT * max(len(p), len(q)) else 0
-            if 100 * both >= PERCENT * (len(p) + len(q) - both):
-                a.append(x)
-                b.append(y)
+        for lo in range(0, batch.num_rows, 256):
+            for r in batch.slice(lo, 256).to_pylist():
+                p, q = np.frombuffer(r["p"], _U), np.frombuffer(r["q"], _U)
+                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) * 100 >= PERCENT * max(len(p), len(q)) else 0
+                if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                    a.append(r["a"])
+                    b.append(r["b"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -254,7 +262,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _links(sets: DataFrame, classes: int) -> DataFrame | None:
     """(node, comp): the components of all links between classes; None if nothing was linked."""
-    signed = sets.select("c1", "members").mapInArrow(_sign, "key long, c1 long, n int")
+    signed = sets.select("c1", "u", "members").mapInArrow(_sign, "key long, c1 long, n int, u int")
     keys = signed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("c1")).alias("x"), F.min("c1").alias("least"))
     keys = keys.where("size > 1").groupBy("size", "x", "least").agg(F.min("key").alias("key")).select("key")
     keys = cut(keys)
@@ -263,7 +271,7 @@ def _links(sets: DataFrame, classes: int) -> DataFrame | None:
     links, comps, tested, centres = None, None, None, 1
     while True:
         if comps is not None:
-            placed = groups.join(small(comps), groups.c1 == comps.node, "left").select("key", "c1", "n", F.coalesce("comp", "c1").alias("comp"))
+            placed = groups.join(small(comps), groups.c1 == comps.node, "left").select("key", "c1", "n", "u", F.coalesce("comp", "c1").alias("comp"))
         else:
             placed = groups.withColumn("comp", F.col("c1"))
         parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
@@ -271,11 +279,11 @@ def _links(sets: DataFrame, classes: int) -> DataFrame | None:
         todo = cut(placed.join(mixed, "key", "left_semi"))
         if todo.isEmpty():
             break
-        # centres: members of the components that have fewest members in the group
-        order = Window.partitionBy("key").orderBy("size", "comp", "c1")
+        # centres: of the components that have fewest members in the group, the members with fewest shingles of their own
+        order = Window.partitionBy("key").orderBy("size", F.col("u") / F.col("n"), "c1")
         chosen = todo.join(parts, ["key", "comp"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres)
-        chosen = cut(chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m")))
-        pairs = todo.join(chosen, "key").where("comp <> of and 100 * least(n, m) >= 80 * greatest(n, m)")
+        chosen = cut(chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m"), F.col("u").alias("v")))
+        pairs = todo.join(chosen, "key").where("comp <> of and 100 * least(n, m) >= 80 * greatest(n, m) and 9 * (u + v) <= n + m")
         pairs = pairs.select(F.least("a", "c1").alias("a"), F.greatest("a", "c1").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -283,13 +291,13 @@ def _links(sets: DataFrame, classes: int) -> DataFrame | None:
         found = cut(both.mapInArrow(_verify, "a long, b long"))
         links = found if links is None else links.unionByName(found)
         comps = cut(components(links))
-        groups = todo.join(chosen, (todo.key == chosen.key) & (todo.c1 == chosen.a), "left_anti").select("key", "c1", "n")
+        groups = todo.join(chosen, (todo.key == chosen.key) & (todo.c1 == chosen.a), "left_anti").select("key", "c1", "n", "u")
         centres *= 8
     return comps
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and cls (its class, 16 bytes).
+    """One row per document: doc_id, n_shingles, component_id, cls (its class, 16 bytes), th (a hash of its text).
 
     Null or wordless texts have no shingles and are their own component. Rows that repeat are
     documents of one class. A null doc_id gets the component_id of its class, the smallest other
@@ -305,13 +313,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = counted.where("cls is not null").select("doc_id", "th", "n", "cls")
     shared = counted.where("cls is null").groupBy("c1").agg(F.sum("shared").alias("shared"))
     classes = named.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))
-    classes = cut(classes.withColumn("c1", _low(F.col("cls"))).join(shared, "c1", "left"))
-    kept = classes.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cls", "rep")
+    # two shingles of one class may have one fingerprint, which is counted once: hence the margin
+    classes = classes.withColumn("c1", _low(F.col("cls"))).join(shared, "c1", "left")
+    classes = cut(classes.withColumn("shared", F.least(F.col("n"), F.col("shared") + 2 + F.expr("n div 100000"))))
+    kept = classes.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cls", "rep", (F.col("n") - F.col("shared")).cast("int").alias("u"))
     n = kept.count()
     reps = kept.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
     found = base.join(small(reps, n), base.doc_id.eqNullSafe(F.col("rid")) & (base.th == F.col("rth")), "left_semi")
     sets = found.select("text").mapInArrow(_sets, "cls binary, c1 long, members binary")
-    sets = cut(sets.where("length(members) > 0").groupBy("cls").agg(F.first("c1").alias("c1"), F.first("members").alias("members")))
+    sets = sets.where("length(members) > 0").groupBy("cls").agg(F.first("c1").alias("c1"), F.first("members").alias("members"))
+    sets = cut(sets.join(small(kept.select("cls", "u"), n), "cls"))
     comps = _links(sets, n)
     ids = classes.select("cls", "c1", "least")
     if comps is not None:
@@ -326,7 +337,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     left = named.withColumn("piece", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id", "th"), F.lit(pieces)).cast("int")))
     right = ids.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     out = left.join(right, ["cls", "piece"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls", "th")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents without those that some group's smallest doc_id stands for; all columns stay.
+
+    Texts aren't shuffled while the keys of what goes are few enough to be broadcast. A group's rows
+    that share its doc_id and its class are one document: one of them stays. Documents without words
+    stay, as do rows with a null doc_id in groups of none other.
+    """
+    near = cut(near_duplicates(docs, text, doc_id))
+    gone = near.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    again = near.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "cls").agg(F.count("*").alias("n"), F.min("th").alias("first"), F.collect_set("th").alias("ths")).where("n > 1")
+    again = cut(again.select(F.col("doc_id").alias("_d"), "first", F.explode("ths").alias("_t")))
+    rows = docs.withColumn("_th", F.xxhash64(F.col(text))).withColumn("_id", F.col(doc_id).cast("long"))
+    same = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))
+    rows = rows.join(small(cut(gone)), same, "left_anti")
+    if not again.isEmpty():
+        twice = rows.join(again.where("_t = first").select("_d", "_t"), same, "left_semi").dropDuplicates(["_id", "_th"])
+        rows = rows.join(small(again.select("_d", "_t")), same, "left_anti").unionByName(twice)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _low(cls: Column) -> Column:
