@@ -46,7 +46,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("cls", "th")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,21 +266,21 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone.append(len(text) - len(left))
                 spans.append(cuts)
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+                kept.append(left.decode(errors="ignore"))
             cuts_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("did"), part.column("th"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(sha), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], cuts_type), pa.array(kept, pa.binary())],
-                names=["did", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"],
+                [part.column("row"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(sha), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], cuts_type), pa.array(kept, pa.string())],
+                names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text"],
             )
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+def _keyed(docs: DataFrame, text: str, doc_id: str, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(did, th, spans): byte ranges to remove, overlapping as found, of texts keyed by did and th."""
-    occ = cut(rows.mapInArrow(_find(length), "did long, th long, key long, ctx long, pos int, l int, r int"))
+    occ = cut(rows.select("did", "th", "text").mapInArrow(_find(length), "did long, th long, key long, ctx long, pos int, l int, r int"))
     same = occ.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "pos", "l", "r")).alias("x"))
     same = cut(same.select("key", "ctx", "c", "x.*"))
     kinds = same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -289,7 +289,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 
     def fetch(part: DataFrame) -> DataFrame:
         spots = part.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "key", "ctx", "c")).alias("spots"))  # a text's own anchors
-        return rows.join(spots, ["did", "th"]).select("text", "spots").mapInArrow(_contexts(length), "key long, ctx long, c long, left binary, right binary")
+        # all columns are asked for, so that this exchange of the texts is the one that the caller's join uses again
+        return rows.join(spots, ["did", "th"]).select("did", "th", "text", "row", "spots").mapInArrow(_contexts(length), "key long, ctx long, c long, left binary, right binary")
 
     few = fetch(need.where(F.col("kinds") <= group))
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -304,16 +305,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     return spans.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))  # a text's own spans
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (runs), kept (bytes), th.
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """The kept columns with n_bytes, n_removed, n_spans, kept_sha256, removed (runs), kept_text
+    (without characters of which a cut leaves a part).
 
     Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat are repeats of
-    each other like any two documents. ``th`` (a hash of the text) tells rows of one doc_id apart.
-    An empty table gives no rows; other columns are ignored.
+    each other like any two documents. An empty table gives no rows; columns that aren't kept are
+    ignored, whatever their names.
     """
-    rows = _keyed(docs, text, doc_id)
+    rows = _keyed(docs, text, doc_id, keep)
     spans = repeated_spans(rows, length, group)
-    out = rows.join(spans, ["did", "th"], "left").select("did", "th", "text", "spans").mapInArrow(
-        _remove, "did long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, kept binary"
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.join(spans, ["did", "th"], "left").select("did", "th", "text", "row", "spans").mapInArrow(
+        _remove, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, kept_text string"
     )
-    return out.select(F.nullif("did", F.lit(_NONE)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept", "th")
+    return out.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept_text")
