@@ -1,0 +1,191 @@
+"""Functions no built-in expresses: aligned normal forms, romanisation, segmentation, name similarity.
+
+They are Arrow-batched; each plain Python function below is also usable on its own.
+"""
+
+from __future__ import annotations
+
+import itertools
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import fixed
+
+_MARKS = re.compile(f"[{fixed.MARK_RANGES}{fixed.TATWEEL}]")
+_OTHER = re.compile(r"[^\w]")
+
+
+def aligned(text: str | None, form: str = "NFKC", folds: dict[str, str] = fixed.FOLDS, marks: re.Pattern[str] | None = _MARKS) -> tuple[str, list[int]]:
+    """(normal form, the source position of each of its characters), character by character."""
+    out: list[str] = []
+    at: list[int] = []
+    for i, c in enumerate(text or ""):
+        for piece in unicodedata.normalize(form, c):
+            if marks is not None and marks.match(piece):
+                continue
+            for x in folds.get(piece, piece).lower():
+                if unicodedata.combining(x):
+                    continue
+                if _OTHER.match(x):
+                    if not out or out[-1] == " ":
+                        continue
+                    x = " "
+                out.append(x)
+                at.append(i)
+    if out and out[-1] == " ":
+        out.pop()
+        at.pop()
+    return "".join(out), at
+
+
+def aligned_latin(text: str | None) -> tuple[str, list[int]]:
+    return aligned(text, "NFKD", {}, None)
+
+
+def source_span(at: list[int], start: int, end: int) -> tuple[int, int]:
+    """The source's half-open span of a span of the normal form."""
+    if not 0 <= start < end <= len(at):
+        raise ValueError(f"empty or outside: {start}, {end}")
+    return at[start], at[end - 1] + 1
+
+
+_ALIGNED = T.StructType([T.StructField("text", T.StringType()), T.StructField("source_offsets", T.ArrayType(T.IntegerType()))])
+
+
+def _frame(c: pd.Series, f) -> pd.DataFrame:
+    rows = [f(x) for x in c]
+    return pd.DataFrame({"text": [t for t, _ in rows], "source_offsets": [a for _, a in rows]})
+
+
+@F.pandas_udf(_ALIGNED)
+def normalize_aligned(c: pd.Series) -> pd.DataFrame:
+    return _frame(c, aligned)
+
+
+@F.pandas_udf(_ALIGNED)
+def normalize_aligned_latin(c: pd.Series) -> pd.DataFrame:
+    return _frame(c, aligned_latin)
+
+
+def romanized(text: str | None, most: int = 12) -> list[str]:
+    """Latin spellings of a name, likeliest first: customary ones, else the letters' variants crossed."""
+    names = []
+    for token in aligned(text)[0].split():
+        bare = token[2:] if token.startswith("ال") and len(token) >= 5 else token
+        known = fixed.ROMAN_NAMES.get(token) or fixed.ROMAN_NAMES.get(bare)
+        if known is None:
+            letters = [fixed.ROMAN.get(c, (c,)) for c in bare]
+            known = tuple(dict.fromkeys("".join(x) for x in itertools.islice(itertools.product(*letters), most)))
+        names.append(known)
+    if not names:
+        return []
+    return list(dict.fromkeys(" ".join(x) for x in itertools.islice(itertools.product(*names), most)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def romanize(c: pd.Series) -> pd.Series:
+    return c.map(romanized)
+
+
+def paragraphs(text: str | None) -> list[tuple[int, int, str]]:
+    """Trimmed spans between blank lines."""
+    out, at = [], 0
+    text = text or ""
+    for gap in [*re.finditer(r"\n[^\S\n]*\n\s*", text), None]:
+        end = gap.start() if gap else len(text)
+        part = text[at:end]
+        a = at + len(part) - len(part.lstrip())
+        b = at + len(part.rstrip())
+        if a < b:
+            out.append((a, b, text[a:b]))
+        at = gap.end() if gap else end
+    return out
+
+
+_CLOSERS = "\"'”’»)]}"
+_ABBREVIATIONS = frozenset("mr mrs ms dr prof st jr sr vs etc inc ltd co corp gen col sgt capt rep sen gov u.s u.k e.g i.e a.m p.m no dept est".split())
+
+
+def _ends(text: str, i: int, marks: str) -> bool:
+    c = text[i]
+    if c not in marks:
+        return False
+    if c != ".":
+        return True
+    after = text[i + 1 : i + 2]
+    if after == ".":
+        return True
+    if text[i - 1 : i] == "." or after.isalnum():
+        return False
+    word = text[:i].split()[-1].lower().lstrip("(\"'“‘") if text[:i].split() and not text[i - 1 : i].isspace() else ""
+    return not (word in _ABBREVIATIONS or (len(word) == 1 and word.isalpha()) or re.fullmatch(r"(?:[a-z]\.)+[a-z]", word))
+
+
+def sentences(text: str | None, marks: str = ".!?…؟") -> list[tuple[int, int, str]]:
+    """Spans of sentences; paragraphs bound them, decimals, initials and abbreviations don't."""
+    out = []
+    text = text or ""
+    for start, end, _ in paragraphs(text):
+        at = i = start
+        while i < end:
+            if not _ends(text, i, marks):
+                i += 1
+                continue
+            while i < end and text[i] in marks:
+                i += 1
+            while i < end and text[i] in _CLOSERS:
+                i += 1
+            out.append((at, i, text[at:i]))
+            while i < end and text[i].isspace():
+                i += 1
+            at = i
+        tail = text[at:end].rstrip()
+        if tail:
+            out.append((at, at + len(tail), tail))
+    return out
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(_SPANS)
+def segment_paragraphs(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: [{"start": a, "end": b, "text": x} for a, b, x in paragraphs(t)])
+
+
+@F.pandas_udf(_SPANS)
+def segment_sentences(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: [{"start": a, "end": b, "text": x} for a, b, x in sentences(t)])
+
+
+def similarity(a: str, b: str) -> float:
+    """Jaro-Winkler similarity, the bonus for a common beginning of up to four always added."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    free = [True] * len(b)
+    left, right = [], []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
+        if j is not None:
+            free[j] = False
+            left.append(c)
+            right.append(j)
+    m = len(left)
+    if not m:
+        return 0.0
+    moved = sum(c != b[j] for c, j in zip(left, sorted(right), strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    same = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or not a[k : k + 1]), 4)
+    return jaro + same * 0.1 * (1 - jaro)
+
+
+@F.pandas_udf(T.DoubleType())
+def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])
