@@ -78,7 +78,7 @@ def country_counts(c: Column, countries: dict[str, tuple[str, ...]] = fixed.COUN
 def detect_country(c: Column, countries: dict[str, tuple[str, ...]] = fixed.COUNTRIES) -> Column:
     """The country that a normalised text mentions most, ties in the table's order; null without any."""
     best = first_max(country_counts(c, countries))
-    return F.when(best["score"] > 0, best["name"])
+    return F.when(c.rlike("[؀-ۿ]") & (best["score"] > 0), best["name"])  # most texts have no such letter
 
 
 def guess_country(c: Column, words: list[tuple[str, str]]) -> Column:

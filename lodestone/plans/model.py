@@ -57,7 +57,7 @@ FACTS_SQL = (
     DOCS_SQL
     + """, facts AS (SELECT id * 12 + k AS id, CASE k % 3 WHEN 0 THEN 'topic' WHEN 1 THEN 'escalation' ELSE 'country' END AS fact_type, id AS subject_id,
   CASE k % 3 WHEN 0 THEN lang WHEN 1 THEN CASE WHEN n_chars > 3000 THEN 'high' WHEN n_chars > 1000 THEN 'medium' ELSE 'low' END ELSE CASE WHEN id % 4 > 0 THEN source END END AS value,
-  CASE WHEN (id + k) % 3 = 0 THEN 'v1' ELSE 'v2' END AS version, collected_at + to_hours(((id * 3 + k * k) % 5)::INT) AS created_at, (id + k) % 11 = 0 AS retracted
+  CASE WHEN (id + k) % 4 = 0 THEN 'v1' ELSE 'v2' END AS version, collected_at + to_hours(((id * 3 + k * k) % 5)::INT) AS created_at, (id + k) % 11 = 0 AS retracted
   FROM docs, (SELECT unnest(range(12)) AS k))"""
 )
 
@@ -71,7 +71,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, "topic").when(kind == 1, "escalation").otherwise("country").alias("fact_type"),
         F.col("id").alias("subject_id"),
         F.when(kind == 0, F.col("lang")).when(kind == 1, size).otherwise(F.when(F.col("id") % 4 > 0, F.col("source"))).alias("value"),
-        F.when((F.col("id") + F.col("k")) % 3 == 0, "v1").otherwise("v2").alias("version"),
+        F.when((F.col("id") + F.col("k")) % 4 == 0, "v1").otherwise("v2").alias("version"),
         (F.col("collected_at") + F.expr("make_dt_interval(0, cast((id * 3 + k * k) % 5 as int))")).alias("created_at"),
         ((F.col("id") + F.col("k")) % 11 == 0).alias("retracted"),
     )
