@@ -25,7 +25,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
     v = raw.select("page_id", F.try_parse_json("raw").alias("v")).where("v is not null")
     many = v.select("page_id", F.coalesce(F.expr("try_variant_get(v, '$', 'array<variant>')"), F.array("v")).alias("some"))
     each = many.select("page_id", F.explode("some").alias("v"))
-    return each.select("page_id", F.explode(F.concat(F.coalesce(F.expr("try_variant_get(v, '$.\"@graph\"', 'array<variant>')"), F.array().cast("array<variant>")), F.array("v"))).alias("item"))
+    return each.select("page_id", F.explode(F.concat(F.coalesce(F.expr("try_variant_get(v, '$[\"@graph\"]', 'array<variant>')"), F.array().cast("array<variant>")), F.array("v"))).alias("item"))
 
 
 def parse_date(c: Column) -> Column:
