@@ -18,7 +18,7 @@ Members whose left extensions are all equal are no longer diverse and one stays
 A suffix with common left L and common right R at some interval, L + R >= length, is removed from
 L bytes before to R after the anchor, and all occurrences are found.
 
-*Large groups.* A group of more than ``GROUP`` different contexts isn't collected. The offsets at
+*Large groups.* A group of more than ``GROUP`` different contexts (30 MB) isn't collected. The offsets at
 which a window can hold the anchor are halved again and again instead: contexts that agree on all
 a range of offsets needs are settled together, ones that agree with none on what it shares go, and
 only the rest is halved; counting is by hash with map-side sums.
@@ -39,7 +39,7 @@ from .common import cut, mix, powers, prefix_hashes, utf8
 
 LENGTH = 400
 KMER = 32
-GROUP = 2_000
+GROUP = 40_000
 _U = np.uint64
 _CHUNK = 1 << 20
 _NONE = -(1 << 63)
