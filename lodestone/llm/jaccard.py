@@ -21,7 +21,8 @@ equal sets form a class; all later work is on classes. Two classes link when
     centres, 1, 8, 64 ... of them, against the other members on the whole sets; members that are
     linked already, directly or through others, need no test, and centres leave the group; nor do
     two members with more than ``(r + s) / 9`` shingles that no other class has, as those are
-    differences. Members with the least share of such shingles (originals rather than edited
+    differences, or whose sketches (parities of counts in 1,024 bins) differ in more bins than that.
+    Members with the least share of such shingles (originals rather than edited
     copies) are centres first. Rounds end when no group has members of two components left.
 5.  *Components* of the verified links by repeated star contraction.
 """
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +44,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Bytes of text a fingerprint bucket is meant for.
 BUCKET_BYTES = 12 << 20
+#: Longs of a set's sketch.
+SKETCH = 16
+_MARKS = [f"s{j}" for j in range(SKETCH)]
 _U = np.uint64
 _ODD = mix(np.arange(11, 11 + SHINGLE + 2, dtype=_U)) | _U(1)
 
@@ -141,7 +146,7 @@ def _fingerprints(buckets: int):
 
 def _count_shared(group: pa.Table) -> pa.Table:
     """Documents pass; of fingerprints, how many of each class some other class has too."""
-    docs = group.filter(pa.compute.is_null(group["payload"]))
+    docs = group.filter(pc.is_null(group["payload"]))
     fps, who = [], []
     for raw in group["payload"].drop_null().to_pylist():
         n, m = np.frombuffer(raw, np.int64, 2)
@@ -171,8 +176,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, sizes = shingle_sets(texts)
         cls = class_ids(sets, sizes)
         ends = np.cumsum(sizes)
+        marks = sketches(sets, sizes)
         raw = [sets[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(_binary(cls), pa.binary()), pa.array(np.ascontiguousarray(cls[:, 0]).view(np.int64)), pa.array(raw, pa.binary())], names=["cls", "c1", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(_binary(cls), pa.binary()), pa.array(np.ascontiguousarray(cls[:, 0]).view(np.int64)), pa.array(raw, pa.binary()), *(pa.array(np.ascontiguousarray(marks[:, j])) for j in range(SKETCH))], names=["cls", "c1", "members", *_MARKS])
+
+
+def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parities of how many members fall into each of 64 * SKETCH bins, as SKETCH longs a set.
+
+    Each bin in which two parities differ holds a shingle that only one of the sets has.
+    """
+    out = np.zeros((len(sizes), SKETCH), np.int64)
+    bins, ends = (sets & _U(64 * SKETCH - 1)).astype(np.int64), np.cumsum(sizes)
+    for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+        odd = np.bincount(bins[end - n : end], minlength=64 * SKETCH) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return out
 
 
 def bands(largest: int) -> list[int]:
@@ -268,6 +287,8 @@ def _links(sets: DataFrame, classes: int) -> DataFrame | None:
     keys = cut(keys)
     groups = cut(signed.join(small(keys), "key"))
     lookup = sets.select("c1", "members")
+    marks = small(sets.select("c1", *_MARKS), classes)
+    apart = " + ".join(f"bit_count(s{j} ^ t{j})" for j in range(SKETCH))
     links, comps, tested, centres = None, None, None, 1
     while True:
         if comps is not None:
@@ -283,7 +304,9 @@ def _links(sets: DataFrame, classes: int) -> DataFrame | None:
         order = Window.partitionBy("key").orderBy("size", F.col("u") / F.col("n"), "c1")
         chosen = todo.join(parts, ["key", "comp"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres)
         chosen = cut(chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m"), F.col("u").alias("v")))
-        pairs = todo.join(chosen, "key").where("comp <> of and 100 * least(n, m) >= 80 * greatest(n, m) and 9 * (u + v) <= n + m")
+        near = "comp <> of and 100 * least(n, m) >= 80 * greatest(n, m) and 9 * (u + v) <= n + m"
+        centred = chosen.join(marks.withColumnsRenamed({"c1": "a"} | {f"s{j}": f"t{j}" for j in range(SKETCH)}), "a")
+        pairs = todo.join(marks, "c1").join(centred, "key").where(f"{near} and 9 * ({apart}) <= n + m")
         pairs = pairs.select(F.least("a", "c1").alias("a"), F.greatest("a", "c1").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -320,8 +343,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     n = kept.count()
     reps = kept.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
     found = base.join(small(reps, n), base.doc_id.eqNullSafe(F.col("rid")) & (base.th == F.col("rth")), "left_semi")
-    sets = found.select("text").mapInArrow(_sets, "cls binary, c1 long, members binary")
-    sets = sets.where("length(members) > 0").groupBy("cls").agg(F.first("c1").alias("c1"), F.first("members").alias("members"))
+    sets = found.select("text").mapInArrow(_sets, "cls binary, c1 long, members binary, " + ", ".join(f"{m} long" for m in _MARKS))
+    sets = sets.where("length(members) > 0").groupBy("cls").agg(F.first("c1").alias("c1"), F.first("members").alias("members"), *[F.first(m).alias(m) for m in _MARKS])
     sets = cut(sets.join(small(kept.select("cls", "u"), n), "cls"))
     comps = _links(sets, n)
     ids = classes.select("cls", "c1", "least")
