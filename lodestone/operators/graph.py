@@ -33,11 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: DataFrame, most: int = 1_000) -> DataFrame:
     """(origin, node): all nodes that directed (src, dst) edges lead to from (origin, node) rows, those included."""
-    seen = front = cut(start.select("origin", "node").distinct())
-    for _ in range(most):
-        step = front.join(edges, front.node == edges.src).select("origin", F.col("dst").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
-        front = cut(step)
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+    edges = cut(edges.select("src", "dst").distinct())
+    # one table with the round in which a row was found, so that partitions and files don't add up over rounds
+    seen = cut(start.select("origin", "node", F.lit(0).alias("_round")).distinct())
+    for k in range(most):
+        step = seen.where(F.col("_round") == k).join(edges, F.col("node") == edges.src).select("origin", F.col("dst").alias("node"), F.lit(k + 1).alias("_round"))
+        seen = cut(seen.unionByName(step).groupBy("origin", "node").agg(F.min("_round").alias("_round")))
+        if seen.where(F.col("_round") == k + 1).isEmpty():
+            return seen.drop("_round")
     raise ValueError("the walk did not end")

@@ -59,21 +59,34 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_events(spark, sf_dir).select("id", F.explode(ledger.violations()).alias("rule"))
 
 
-@register(
-    "b01_idempotent_append",
+_APPEND_SQL = (
     f"""WITH {_SQL}, old AS (SELECT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
         new AS (SELECT DISTINCT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE id % 4 = 0),
         bad AS (SELECT new.k FROM new JOIN old ON new.k = old.k AND new.c <> old.c UNION SELECT k FROM new GROUP BY k HAVING count(*) > 1)
-        SELECT k AS event_key, 'new' AS outcome FROM new WHERE k NOT IN (SELECT k FROM old) AND k NOT IN (SELECT k FROM bad) UNION ALL SELECT k, 'conflict' FROM bad""",
+        SELECT k AS event_key, 'new' AS outcome FROM new WHERE k NOT IN (SELECT k FROM old) AND k NOT IN (SELECT k FROM bad) UNION ALL SELECT k, 'conflict' FROM bad"""
 )
-def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _appended(spark: SparkSession, sf_dir: str, stored: str, arriving: str) -> DataFrame:
+    """What becomes of the arriving events' keys beside those stored."""
     e = ledger_events(spark, sf_dir)
-    rows = e.select("id", F.concat("run_id", F.lit(":"), "event_type").alias("event_key"), F.concat("event_type", F.coalesce("source", F.lit("")), F.col("id") % 2).alias("content"))
-    old = rows.where("id % 100 = 0").groupBy("event_key").agg(F.min_by("content", "id").alias("content"))
-    new, bad = ledger.append(old, rows.where("id % 4 = 0").drop("id"), ["content"])
+    rows = e.select("id", "occurred_at", F.concat("run_id", F.lit(":"), "event_type").alias("event_key"), F.concat("event_type", F.coalesce("source", F.lit("")), F.col("id") % 2).alias("content"))
+    old = rows.where(stored).groupBy("event_key").agg(F.min_by("content", "id").alias("content"))
+    new, bad = ledger.append(old, rows.where(arriving).drop("id", "occurred_at"), ["content"])
     return new.select("event_key", F.lit("new").alias("outcome")).unionByName(bad.select("event_key", F.lit("conflict").alias("outcome")))
 
 
+@register("b01_idempotent_append", _APPEND_SQL)
+def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, sf_dir, "id % 100 = 0", "id % 4 = 0")
+
+
+#: Runs are of one day, so the day's first half is stored and the second arrives; each event is in one of both.
+@register("b01_idempotent_append_all", _APPEND_SQL.replace("id % 100 = 0", "hour(occurred_at) < 12").replace("id % 4 = 0", "hour(occurred_at) >= 12"))
+def idempotent_append_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, sf_dir, "hour(occurred_at) < 12", "hour(occurred_at) >= 12")
+
+
 @register(
     "b03_w08_run_health",
     f"""WITH {_SQL}, l AS (SELECT run_id, lease_expires_at FROM e WHERE event_type IN {_LEASED} QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY occurred_at DESC, id DESC) = 1),

@@ -206,10 +206,11 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GEN = "m AS (SELECT p_partkey AS evidence, p_brand AS owner, p_type || '-' || (p_size % 9) AS cluster FROM part WHERE p_partkey % 10 < 8)"
 _RECONCILE = f"""{_GEN}, o AS (SELECT owner, cluster, count(*) AS n FROM m GROUP BY ALL), child AS (SELECT owner, cluster, n FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n DESC, cluster) = 1),
   heir AS (SELECT owner, cluster FROM child QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, owner) = 1)"""
+_SUBSET = " WHERE p_partkey % 10 < 8"
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = read(spark, sf_dir, "part").where("p_partkey % 10 < 8").select(F.col("p_brand").alias("owner"), F.concat("p_type", F.lit("-"), (F.col("p_size") % 9).cast("string")).alias("cluster"))
+def _overlap(parts: DataFrame) -> DataFrame:
+    m = parts.select(F.col("p_brand").alias("owner"), F.concat("p_type", F.lit("-"), (F.col("p_size") % 9).cast("string")).alias("cluster"))
     return m.groupBy("owner", "cluster").agg(F.count("*").alias("n"))
 
 
@@ -218,21 +219,32 @@ def _heirs(o: DataFrame) -> DataFrame:
     return ops.latest(child, ["cluster"], [F.desc("n"), F.col("owner")]).select("owner", "cluster")
 
 
-@register("j13_g07_g08_reconcile", f"WITH {_RECONCILE}, c AS (SELECT DISTINCT cluster FROM o) SELECT c.cluster, coalesce(heir.owner, 'new:' || substr(sha256(c.cluster), 1, 8)) AS stable_uid, heir.owner IS NOT NULL AS inherited FROM c LEFT JOIN heir USING (cluster)")
-def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlap(spark, sf_dir)
+def _reconciled(o: DataFrame) -> DataFrame:
     c = o.select("cluster").distinct().join(_heirs(o), "cluster", "left")
     return c.select("cluster", F.coalesce("owner", F.concat(F.lit("new:"), F.substring(F.sha2("cluster", 256), 1, 8))).alias("stable_uid"), F.col("owner").isNotNull().alias("inherited"))
 
 
-@register(
-    "g11_lineage",
+_RECONCILE_SQL = f"WITH {_RECONCILE}, c AS (SELECT DISTINCT cluster FROM o) SELECT c.cluster, coalesce(heir.owner, 'new:' || substr(sha256(c.cluster), 1, 8)) AS stable_uid, heir.owner IS NOT NULL AS inherited FROM c LEFT JOIN heir USING (cluster)"
+
+
+@register("j13_g07_g08_reconcile", _RECONCILE_SQL)
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(_overlap(read(spark, sf_dir, "part").where("p_partkey % 10 < 8")))
+
+
+@register("j13_g07_g08_reconcile_all", _RECONCILE_SQL.replace(_SUBSET, ""))
+def reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(_overlap(read(spark, sf_dir, "part")))
+
+
+_LINEAGE_SQL = (
     f"""WITH {_RECONCILE}, best AS (SELECT owner, cluster FROM child), uid AS (SELECT DISTINCT o.cluster, coalesce(heir.owner, 'new:' || substr(sha256(o.cluster), 1, 8)) AS uid FROM o LEFT JOIN heir USING (cluster))
         SELECT o.owner AS src, uid.uid AS dst, CASE WHEN uid.uid = o.owner THEN 'continued' WHEN best.cluster IS NOT NULL THEN 'merged_into' ELSE 'split_into' END AS relationship, o.n AS witnesses
-        FROM o JOIN uid USING (cluster) LEFT JOIN best ON best.owner = o.owner AND best.cluster = o.cluster""",
+        FROM o JOIN uid USING (cluster) LEFT JOIN best ON best.owner = o.owner AND best.cluster = o.cluster"""
 )
-def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlap(spark, sf_dir)
+
+
+def _edges(o: DataFrame) -> DataFrame:
     child = ops.latest(o, ["owner"], [F.desc("n"), F.col("cluster")]).select("owner", "cluster", F.lit(True).alias("best"))
     heirs = _heirs(o).select("cluster", F.col("owner").alias("heir"))
     x = o.join(heirs, "cluster", "left").join(child, ["owner", "cluster"], "left").withColumn("dst", F.coalesce("heir", F.concat(F.lit("new:"), F.substring(F.sha2("cluster", 256), 1, 8))))
@@ -240,15 +252,39 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("owner").alias("src"), "dst", kind.alias("relationship"), F.col("n").alias("witnesses"))
 
 
+@register("g11_lineage", _LINEAGE_SQL)
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(_overlap(read(spark, sf_dir, "part").where("p_partkey % 10 < 8")))
+
+
+@register("g11_lineage_all", _LINEAGE_SQL.replace(_SUBSET, ""))
+def lineage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(_overlap(read(spark, sf_dir, "part")))
+
+
+def _targets(orders: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """The ends of walks over the orders' edges from (origin, node) rows, or from every source node."""
+    e = orders.select((F.col("o_custkey") % 300).alias("src"), (F.col("o_custkey") % 300 + 1 + F.col("o_orderkey") % 7).alias("dst")).distinct()
+    if start is None:
+        start = e.select(F.col("src").alias("origin"), F.col("src").alias("node"))
+    return reachable(e, start).join(e.select(F.col("src").alias("node")), "node", "left_anti")
+
+
 @register(
     "g14_current_targets",
     "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS src, o_custkey % 300 + 1 + o_orderkey % 7 AS dst FROM orders WHERE o_orderkey % 50 = 0), w(origin, node) AS (SELECT n, n FROM (SELECT unnest(range(0, 300, 25)) AS n) UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT origin, node FROM w WHERE node NOT IN (SELECT src FROM e)",
 )
 def current_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    e = o.select((F.col("o_custkey") % 300).alias("src"), (F.col("o_custkey") % 300 + 1 + F.col("o_orderkey") % 7).alias("dst")).distinct()
     start = spark.range(0, 300, 25).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return reachable(e, start).join(e.select(F.col("src").alias("node")), "node", "left_anti")
+    return _targets(read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"), start)
+
+
+@register(
+    "g14_current_targets_all",
+    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS src, o_custkey % 300 + 1 + o_orderkey % 7 AS dst FROM orders), w(origin, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT origin, node FROM w WHERE node NOT IN (SELECT src FROM e)",
+)
+def current_targets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _targets(read(spark, sf_dir, "orders"))
 
 
 _SNAPS = "s AS (SELECT DISTINCT p_brand AS uid, g AS generation, (p_size * 7 + g * 3 + length(p_brand)) % 4 > 0 AS present FROM (SELECT p_brand, min(p_size) AS p_size FROM part GROUP BY 1), (SELECT unnest(range(1, 7)) AS g))"
