@@ -73,7 +73,7 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a26_bootstrap_interval")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.bootstrap(_scores(spark, sf_dir).select("id", (F.col("score") - F.col("label")).alias("difference")), 500)
+    return learning.bootstrap(_scores(spark, sf_dir).select("id", (F.col("score") - F.col("label")).alias("difference")))
 
 
 @register(

@@ -145,13 +145,24 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(
-    "w10_top_entities",
-    f"WITH {model.MENTIONS_SQL}, c AS (SELECT object_type, surface, count(*) AS n FROM mentions GROUP BY ALL) SELECT object_type, surface, n FROM c QUALIFY row_number() OVER (PARTITION BY object_type ORDER BY n DESC, surface) <= 2",
+_TOP_SQL = (
+    f"WITH {model.MENTIONS_SQL}, c AS (SELECT object_type, surface, count(*) AS n FROM mentions GROUP BY ALL) SELECT object_type, surface, n FROM c QUALIFY row_number() OVER (PARTITION BY object_type ORDER BY n DESC, surface) <= 2"
 )
-def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _top(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     c = model.mentions(spark, sf_dir).groupBy("object_type", "surface").agg(F.count("*").alias("n"))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("object_type").orderBy(F.desc("n"), "surface"))).where("r <= 2").drop("r")
+    return c.withColumn("r", F.row_number().over(Window.partitionBy("object_type").orderBy(F.desc("n"), "surface"))).where(F.col("r") <= most).drop("r")
+
+
+@register("w10_top_entities", _TOP_SQL)
+def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, 2)
+
+
+@register("w10_top_entities_12", _TOP_SQL.replace("<= 2", "<= 12"))
+def top_12_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(spark, sf_dir, 12)
 
 
 # -- review: orders stand for decisions about pairs (customer, status)

@@ -46,9 +46,17 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.union(bridged).distinct().orderBy("name").limit(50)
 
 
+#: Columns with names or text, and their keys.
+_NAMED = (("documents", "doc_id", "text"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name"))
+
+
 @register("t16_romanised_names")
 def romanised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.phrases(spark).select("id", F.posexplode(romanize("text")).alias("rank", "spelling"))
+    """Spellings of all names and texts of the tables, and of the phrases."""
+    t = model.phrases(spark).select(F.lit("phrases").alias("table"), "id", "text")
+    for table, key, name in _NAMED:
+        t = t.unionByName(read(spark, sf_dir, table).select(F.lit(table).alias("table"), F.col(key).cast("long").alias("id"), F.col(name).alias("text")))
+    return t.select("table", "id", F.posexplode(romanize("text")).alias("rank", "spelling"))
 
 
 @register(

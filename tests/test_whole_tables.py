@@ -7,6 +7,9 @@ import pyarrow.dataset as ds
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.functions.names import romanized
+from lodestone.operators import learning
+from lodestone.plans import model
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -49,3 +52,25 @@ def test_append_of_all_events(spark):
     bad = {k for k, c in new.items() if len(c) > 1 or (k in old and c != {old[k]})}
     want = [(k, "conflict") for k in bad] + [(k, "new") for k in new if k not in old and k not in bad]
     assert sorted((r.event_key, r.outcome) for r in run(spark, "b01_idempotent_append_all")) == sorted(want)
+
+
+def test_top_entities_of_a_type(spark, tmp_path):
+    text = " ".join(surface for _, _, surface in model.DICTIONARY)
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["w10_top_entities_12"](spark, str(tmp_path)).collect()
+    assert sorted((r.object_type, r.surface) for r in got) == sorted((kind, surface) for kind, _, surface in model.DICTIONARY)
+
+
+def test_bootstrap_takes_its_default(spark, monkeypatch):
+    taken, real = [], learning.bootstrap
+    monkeypatch.setattr(learning, "bootstrap", lambda rows, samples=2000, **x: taken.append(samples) or real(rows, samples, **x))
+    run(spark, "a26_bootstrap_interval")
+    assert taken == [2000]
+
+
+def test_romanised_names_of_all_tables(spark):
+    names = {("phrases", -1 - i): t for i, t in enumerate(model.PHRASES)}
+    for table, key, name in (("documents", "doc_id", "text"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"), ("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        names |= {(table, r[key]): r[name] for r in rows(table)}
+    got = {(r.table, r.id, r.rank): r.spelling for r in run(spark, "t16_romanised_names")}
+    assert got == {(*k, i): x for k, t in names.items() for i, x in enumerate(romanized(t))}
