@@ -100,6 +100,8 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
                 a, b = max(0, at - (length - 1)), min(len(x), at + own + 2 * (length - 1))
                 if b - a >= length:
                     take(np.frombuffer(x, np.uint8, b - a, a), one, np.array([b - a]), np.array([i]), np.array([a]), np.array([a > 0]), np.array([b < len(x)]))
+                if b == len(x):
+                    break  # this piece has the windows up to the text's end
             continue
         if size + len(x) > _CHUNK - 1:
             flush()
@@ -108,7 +110,10 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     flush()
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    got = tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    # the windows on both sides of a piece's border may have the same anchor
+    once = np.append(True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]))
+    return tuple(c[once] for c in got)
 
 
 def _find(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

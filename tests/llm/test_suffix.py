@@ -60,5 +60,23 @@ def test_long_texts_in_pieces(monkeypatch):
     assert {p[1:4] for p in rows(whole)} == {p[1:4] for p in rows(parts)}
 
 
+@pytest.mark.parametrize("over", [0, 1, 59, 60, 61, 100, 117, 118, 119, 120, 392])
+def test_anchors_of_pieces_come_once(monkeypatch, over):
+    r = random.Random(over)
+    text = bytes(r.randrange(97, 101) for _ in range(9 * 512 + over))
+    whole = suffix.anchors([b"z" * 70, text, text], 60)
+    monkeypatch.setattr(suffix, "_CHUNK", 1024)
+    parts = suffix.anchors([b"z" * 70, text, text], 60)
+    spots = lambda x: sorted((int(x[0][i]), int(x[1][i])) for i in range(len(x[0])))
+    assert spots(parts) == spots(whole)
+
+
+def test_long_text_without_repeats_stays(spark):
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh") for _ in range(2 * (suffix._CHUNK // 2) + 600))
+    got = suffix.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_bytes, got.n_removed, got.kept_text) == (len(text), 0, text)
+
+
 def test_empty_table(spark):
     assert suffix.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
