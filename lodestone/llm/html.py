@@ -4,10 +4,12 @@ The page streams through the standard library's parser. Blocks (runs of text bet
 tags) are the lines; a line's ratio is its characters over its tags. Ratios are smoothed with a
 Gaussian and lines above a threshold form clusters. The threshold is the smoothed ratios' standard
 deviation. Each container (article, main, sections and the like) is credited with the clustered
-characters below it; the one that holds nearly all of them while holding little else is the content
-region, and a page that names its article needs no guess between equals. The region's own blocks
-are the result, short ones included; what its tags, roles and class names mark as menu, header,
-footer, sidebar, notice, advert, form or comments is left out wherever it stands.
+characters below it; the smallest one that holds them all is the content region, so that what is
+outside is marked as something else or below the threshold. Lines that are mostly links are credited
+to none. A page that names its article, or main part, has its region named: there the tag decides,
+and the clusters only tell which of several articles is the main one; its siblings belong to it.
+The region's own blocks are the result, short ones included; what its tags, roles and class names
+mark as menu, header, footer, sidebar, notice, advert, form or comments is left out wherever it stands.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ class _Page(HTMLParser):
         self.blocks: list[tuple[str, int, int, bool]] = []  # text, container, tags, skipped
         self.text: list[str] = []
         self.tags = 0
+        self.links = 0  # open links
+        self.linked = 0  # characters in links since the last block
+        self.listed: list[bool] = []  # whether a block is mostly links
         self.quiet = 0  # open elements whose text is no text at all
 
     def _now(self) -> tuple[int, bool]:
@@ -55,8 +60,10 @@ class _Page(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.text)).strip(" ")
         if text:
             self.blocks.append((text, *self._now()[:1], self.tags, self._now()[1]))
+            self.listed.append(self.linked * 2 > len(text))
             self.tags = 0
         self.text = []
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
@@ -83,6 +90,7 @@ class _Page(HTMLParser):
             self.parent.append(at)
             self.kind.append(tag)
             at = len(self.parent) - 1
+        self.links += tag == "a"
         self.open.append((tag, at, skip))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,6 +106,7 @@ class _Page(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self._flush_if_changes(k)
+                self.links -= sum(t == "a" for t, _, _ in self.open[k:])
                 del self.open[k:]
                 return
             if self.open[k][0] in bounds:
@@ -113,6 +122,8 @@ class _Page(HTMLParser):
         if self.open and self.open[-1][2] and self.open[-1][0] in ("script", "style"):
             return
         self.text.append(data)
+        if self.links:
+            self.linked += len(_SPACE.sub(" ", data).strip(" "))
 
     def finish(self) -> None:
         self.close()
@@ -149,26 +160,35 @@ def extract(html: str | None) -> str:
     # characters below each container: of clustered lines, and of all lines that aren't marked as something else
     n = len(page.parent)
     rich, total = [0] * n, [0] * n
-    for (text, at, _, skip), r in zip(page.blocks, ratios, strict=True):
+    for (text, at, _, skip), r, links in zip(page.blocks, ratios, page.listed, strict=True):
         if not skip:
             total[at] += len(text)
-            rich[at] += len(text) * (r >= limit)
+            rich[at] += len(text) * (max(r, len(text)) >= limit and not links)  # a long line is text whatever tags stand before it
     for k in range(n - 1, 0, -1):
         rich[page.parent[k]] += rich[k]
         total[page.parent[k]] += total[k]
     named = [k for k in range(n) if page.kind[k] == "article" and total[k]] or [k for k in range(n) if page.kind[k] == "main" and total[k]]
     if named:
         best = max(named, key=lambda k: (rich[k], total[k], -k))
+
+        def around(k: int) -> int:
+            # the container of an article, past wrappers that hold nothing else
+            while k > 0 and total[page.parent[k]] == total[k]:
+                k = page.parent[k]
+            return page.parent[k]
+
+        chosen = {k for k in named if around(k) == around(best)} | {best}
     else:
         best = 0
-        while True:
-            below = [k for k in range(best + 1, n) if page.parent[k] == best and rich[k] * 10 >= rich[best] * 7 and rich[k]]
+        while rich[best]:
+            below = [k for k in range(best + 1, n) if page.parent[k] == best and rich[k] == rich[best]]
             if not below:
                 break
             best = below[0]
+        chosen = {best}
     inside = [False] * n
     for k in range(n):
-        inside[k] = k == best or (k > 0 and inside[page.parent[k]])
+        inside[k] = k in chosen or (k > 0 and inside[page.parent[k]])
     return "\n\n".join(text for text, at, _, skip in page.blocks if inside[at] and not skip)
 
 

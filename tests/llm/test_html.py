@@ -22,6 +22,28 @@ def test_pages_without_article():
     assert got.split("\n\n") == [f"Paragraph {i} of the text, which has quite a few words so that it counts." for i in range(4)] + ["End."]
 
 
+def test_lead_beside_the_body_stays():
+    line = lambda x: f"{x} is a paragraph with quite a few words in it, so that it counts as text."
+    lead, body = [line("Lead")], [line(f"Part {i}") for i in range(4)]
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(9))
+    p = lambda x: "".join(f"<p>{t}</p>" for t in x)
+    page = f"<body><div><ul>{links}</ul></div><div><div>{p(lead)}</div><div>{p(body)}</div></div></body>"
+    assert extract(page).split("\n\n") == lead + body
+
+
+def test_long_link_texts_are_no_region():
+    p = "".join(f"<p>Part {i} is a paragraph with quite a few words in it, so that it counts.</p>" for i in range(4))
+    links = "".join(f"<p><a href='/{i}'>A headline as long as any paragraph of the text below it, number {i}.</a></p>" for i in range(2))
+    assert "headline" not in extract(f"<body><div>{links}</div><div>{p}</div></body>")
+
+
+def test_sibling_articles():
+    part = "<article><h2>Part {0}</h2><p>This is part {0} of a text in several articles, with words enough.</p></article>"
+    for wrap in ("{}", "<div>{}</div>"):
+        got = extract("<body><div>" + "".join(wrap.format(part.format(i)) for i in range(3)) + "</div><div class='related'><article>Other</article></div></body>")
+        assert [f"Part {i}" in got for i in range(3)] == [True] * 3 and "Other" not in got
+
+
 def test_edges(spark):
     for x in (None, "", " \n", "<nav>a</nav>", "<p", "<script>x</script>", "<!-- c -->"):
         assert extract(x) == "", x
