@@ -20,8 +20,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain, pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +34,8 @@ from pyspark.sql import functions as F
 from .tokens import Kept
 
 MARK = "▁"
-KEPT = 400_000
+KEPT = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_BAD = -1
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -72,17 +75,24 @@ class Codec:
         self.score = {p: s for p, s, kind in pieces if kind == NORMAL}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
-        self.silent = {i for i, (_, _, kind) in enumerate(pieces) if kind == CONTROL}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        silent = {i for i, (_, _, kind) in enumerate(pieces) if kind == CONTROL}
+        #: What each id adds to a decoded text's bytes; no piece's name begins inside a character, so bytes can be joined first.
+        self.raw = [b"" if i in silent else bytes([byte_of[i]]) if i in byte_of else " ⁇ ".encode() if i == self.unknown else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses the start of a word")
+        self.found = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.found.add_word(p, (i, len(p), self.score[p]))
+        if self.ids:
+            self.found.make_automaton()
         alone = not any("\n" in p for p in self.ids)
         self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.penalty = min(self.score.values(), default=0.0) - 10.0
         self.kept = Kept(KEPT)
-        self.joins: dict[tuple[str, str], bool] = {}
-        self.dtype = "<u2" if len(pieces) <= 1 << 16 else "<u4"
+        self.joins: dict[int, bool] = {}
+        self.dtype, self.code = ("<u2", "H") if len(pieces) <= 1 << 16 else ("<u4", "I")
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -104,106 +114,132 @@ class Codec:
     # -- one word
 
     def _merged(self, word: str) -> list[str]:
-        """Pieces of a word by merging the best-ranked neighbours, leftmost first."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _joins(self, a: str, b: str) -> bool:
-        known = self.joins.get((a, b))
-        if known is None:
-            if len(self.joins) >= KEPT:
-                self.joins.clear()
-            known = self.joins[a, b] = self._merged(a + b) == [a, b]
+        """Pieces of a word by merging the best-ranked neighbours, leftmost first; n log n in its length."""
+        score = self.score
+        if len(word) < 32:
+            parts = list(word)
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    s = score.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if best is None:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        n = len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place; -1: none begins there
+        heap = [(-score[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in score]
+        heapify(heap)
+        while heap:
+            _, a, b, c = heappop(heap)
+            if end[a] != b or b == n or end[b] != c:
+                continue  # one of its parts has been merged meanwhile
+            end[a], end[b] = c, -1
+            if c < n:
+                before[c] = a
+                s = score.get(word[a : end[c]])
+                if s is not None:
+                    heappush(heap, (-s, a, c, end[c]))
+            p = before[a]
+            if p >= 0:
+                s = score.get(word[p:c])
+                if s is not None:
+                    heappush(heap, (-s, p, a, c))
+        out, at = [], 0
+        while at < n:
+            out.append(word[at : end[at]])
+            at = end[at]
+        return out
+
+    def _joined(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a in a valid segmentation, or begin one (a = -1)."""
+        if len(self.joins) >= KEPT:
+            self.joins.clear()
+        parts = [self.names[x] for x in (a, b) if x >= 0]
+        known = self.joins[b if a < 0 else a + 1 << 32 | b] = self._merged("".join(parts)) == parts
         return known
 
-    def _ids(self, parts: list[str]) -> bytes:
-        out = []
-        for p in parts:
-            i = self.ids.get(p)
-            if i is not None:
+    def _packed(self, parts: list[tuple[int, str]]) -> bytes:
+        """Ids of pieces; -1 stands for a character that isn't in the vocabulary."""
+        out = array(self.code)
+        for i, p in parts:
+            if i >= 0:
                 out.append(i)
             elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
+                out.extend([self.bytes[b] for b in p.encode()])
             else:
                 out.append(self.unknown)
-        return np.array(out, self.dtype).tobytes()
-
-    def _step(self, word: str, end: int, state: list[tuple[float, str]]) -> tuple[float, str]:
-        """The forward state of ``word[:end]`` from those of its prefixes."""
-        if self.bpe:
-            for k in range(min(self.longest, end), 0, -1):
-                p = word[end - k : end]
-                if (k == 1 or p in self.ids) and (k == end or self._joins(state[end - k][1], p)):
-                    return 0.0, p
-            raise AssertionError(f"no segmentation of {word[:end]!r}")
-        best = (float("-inf"), "")
-        for k in range(1, min(self.longest, end) + 1):
-            p = word[end - k : end]
-            s = self.score.get(p, self.penalty if k == 1 else None)
-            if s is not None and state[end - k][0] + s > best[0]:
-                best = (state[end - k][0] + s, p)
-        return best
+        return out.tobytes()
+
+    def _ids(self, parts: list[str]) -> bytes:
+        return self._packed([(self.ids.get(p, -1), p) for p in parts])
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Sorted distinct words with their ids; a depth-first walk over their trie."""
-        path, state = "", [(0.0, "")]
+        """Sorted distinct words with their ids; a depth-first walk over their trie.
+
+        A state is (score, id, length) of the last piece of its prefix's segmentation. Pieces that
+        end at a place are found by an automaton of the vocabulary, longest first.
+        """
+        bpe, joins, found, ids = self.bpe, self.joins, self.found, self.ids
+        path, state = "", [(0.0, -1, 0)]
         for word in words:
-            if self.bpe and word[:2] == MARK * 2:
+            if bpe and word[:2] == MARK * 2:
                 yield word, self._ids(self._merged(word))
                 continue
-            same, most = 0, min(len(path), len(word))
-            while same < most and path[same] == word[same]:
+            same, n = 0, len(word)
+            for a, b in zip(path, word):  # noqa: B905  up to the shorter one's end
+                if a != b:
+                    break
                 same += 1
             del state[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                state.append(self._step(word, end, state))
-            path, parts, at = word, [], len(word)
+            hits = list(found.iter(word, max(0, same + 1 - self.longest))) if ids else []
+            k, last = 0, len(hits)
+            while k < last and hits[k][0] < same:
+                k += 1
+            for at in range(same + 1, n + 1):
+                best = None
+                while k < last and hits[k][0] < at:
+                    i, size, score = hits[k][1]
+                    k += 1
+                    before = state[at - size]
+                    if not bpe:
+                        if best is None or before[0] + score > best[0]:
+                            best = (before[0] + score, i, size)
+                    elif best is None:
+                        key = i if before[1] < 0 else before[1] + 1 << 32 | i
+                        ok = joins.get(key)
+                        if ok if ok is not None else self._joined(before[1], i):
+                            best = (0.0, i, size)
+                if (best is None or not bpe) and word[at - 1] not in ids and (best is None or state[at - 1][0] + self.penalty > best[0]):
+                    best = (state[at - 1][0] + self.penalty, -1, 1)
+                if best is None:
+                    break
+                state.append(best)
+            path, at = word[: len(state) - 1], n
+            if len(path) < n:  # can't be for a model trained by merges
+                yield word, self._ids(self._merged(word))
+                continue
+            parts = []
             while at:
-                parts.append(state[at][1])
-                at -= len(state[at][1])
-            yield word, self._ids(parts[::-1])
+                _, i, size = state[at]
+                parts.append((i, word[at - size : at]))
+                at -= size
+            parts.reverse()
+            yield word, self._packed(parts)
 
     # -- texts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, packed."""
         cut = [self.words.findall((MARK if self.dummy_prefix else "") + x.replace(" ", MARK)) if x else [] for x in texts]
-        new = self.kept.lacking(set().union(*cut))
-        self.kept.update(self.encode_words(sorted(new)))
-        return [b"".join(map(self.kept.__getitem__, x)) for x in cut]
+        ids = self.kept.values_of(list(chain.from_iterable(cut)), self.encode_words)
+        return [b"".join(ids[a:b]) for a, b in pairwise(accumulate(map(len, cut), initial=0))]
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids."""
-        numbers = np.frombuffer(ids, self.dtype).tolist()
-        names, of = self.names, self.byte_of
-        if not any(map(of.__contains__, set(numbers))):
-            out = "".join([names[i] for i in numbers if i not in self.silent])
-        else:
-            parts: list[str] = []
-            held = bytearray()
-            for i in numbers:
-                b = of.get(i)
-                if b is not None:
-                    held.append(b)
-                    continue
-                if held:
-                    parts.append(held.decode(errors="replace"))
-                    held.clear()
-                if i not in self.silent:
-                    parts.append(names[i] if i != self.unknown else " ⁇ ")
-            if held:
-                parts.append(held.decode(errors="replace"))
-            out = "".join(parts)
-        out = out.replace(MARK, " ")
+        out = b"".join(map(self.raw.__getitem__, array(self.code, ids))).decode(errors="replace")
         return out[1:] if self.dummy_prefix and out[:1] == " " else out
 
 

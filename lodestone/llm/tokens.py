@@ -13,12 +13,14 @@ that a lost executor's files are simply written again.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +150,26 @@ def unframe(raw: bytes, offsets: list[int]) -> list[bytes]:
 
 #: Characters whose letters, case and normal form no Unicode version disputes; other words go to the library whole.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The parts of lower-cased plain words, and the spaces between words.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
 #: White space to Python, but not to the tokenizer.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: The tokenizers whose words can be encoded alone: all that decides how a text is cut into words and parts.
+_CUT_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+_END = _CUT_BY_WORDS["model"]["end_of_word_suffix"]
+#: Longer words are encoded each time, so that what is kept has a bound in bytes.
+LONGEST_KEPT = 64
+_JOINED = 64  # parts that go to the library as one text
 
 
 class Kept(dict):
@@ -159,50 +178,97 @@ class Kept(dict):
     def __init__(self, most: int) -> None:
         self.most, self.old = most, {}
 
-    def lacking(self, keys: set) -> set:
-        """Those of the keys that are in neither generation; the others are in the newer after this."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        new = keys.difference(self)
-        again = new.intersection(self.old)
-        self.update((k, self.old[k]) for k in again)
-        return new - again
+    def values_of(self, keys: list[str], make: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[bytes]:
+        """The values of the keys; ``make`` gives those of sorted distinct keys that neither generation has."""
+        got = list(map(self.get, keys))
+        at = [i for i, v in enumerate(got) if v is None]
+        if at:
+            lacking = {keys[i] for i in at}
+            old = self.old
+            found = {k: old[k] for k in lacking if k in old}
+            found.update(make(sorted(lacking.difference(found))))
+            for i in at:
+                got[i] = found[keys[i]]
+            if len(self) > self.most:
+                self.old = dict(self)
+                self.clear()
+            self.update((k, v) for k, v in found.items() if len(k) <= LONGEST_KEPT)
+        return got
 
 
 class Encoder:
-    """Ids of texts as bytes. Vocabularies of words with ends drop white space, so words are encoded alone and kept."""
+    """Ids of texts as bytes. A tokenizer that cuts texts into words first encodes its words alone, and they are kept.
+
+    Whether it does is read from its whole definition; any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = dtype
+        self.dtype, self.width = dtype, np.dtype(dtype).itemsize
         self.words, self.parts = Kept(KEPT_WORDS), Kept(KEPT_WORDS)
         with open(path) as f:
-            self.split = '"end_of_word_suffix":"</w>"' in re.sub(r"\s", "", f.read(1 << 14))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+            told = json.load(f)
+        self.split = all(told.get(k) == v for k, v in _CUT_BY_WORDS.items() if k != "model")
+        self.split &= all(told["model"].get(k) == v for k, v in _CUT_BY_WORDS["model"].items()) and not told.get("truncation") and not told.get("padding")
+        added = told.get("added_tokens") or []
+        self.split &= all(x["content"].startswith("<|") and not any(map(str.isspace, x["content"])) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in added)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(_END)]] = True
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, self.dtype).tobytes() for x in encode(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.dtype) for x in encode(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts of plain words; many go to the library as one text, which is cut where a word's last piece stands."""
+        groups = [parts[i : i + _JOINED] for i in range(0, len(parts), _JOINED)]
+        for group, ids in zip(groups, self._library([" ".join(x) for x in groups]), strict=True):
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(group):
+                yield from map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+            else:
+                yield from (x.tobytes() for x in self._library(group))
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        return self.parts.values_of(parts, lambda new: zip(new, self._encode_parts(new), strict=True))
+
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        letters, mixed, other = [], [], []
+        for w in words:
+            if not (w.isascii() and w.isprintable() or _PLAIN.match(w)) or "<|" in w:
+                other.append(w)
+            elif w.isalpha():
+                letters.append(w)
+            else:
+                mixed.append(w)
+        yield from zip(other, (x.tobytes() for x in self._library(other)), strict=True)
+        yield from zip(letters, self._parts([w.lower() for w in letters]), strict=True)
+        cut = _PARTS.findall(" ".join(mixed).lower())
+        stops = [i for i, x in enumerate(cut) if x == " "]
+        ids = self._parts([x for x in cut if x != " "])
+        at = 0
+        for k, (w, stop) in enumerate(zip(mixed, [*stops, len(cut)], strict=True)):
+            end = stop - k  # the spaces before it have no ids
+            yield w, b"".join(ids[at:end])
+            at = end
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if not self.split:
-            return self._library(texts)
+            return [x.tobytes() for x in self._library(texts)]
         whole = [i for i, x in enumerate(texts) if any(map(x.__contains__, _ODD_SPACE))]
         cut = [x.split() for x in texts]
         for i in whole:
             cut[i] = []
-        lacking = self.words.lacking(set().union(*cut))
-        parts = {w: _PARTS.findall(w.lower()) if _PLAIN.match(w) and "<|" not in w else [w] for w in lacking}
-        new = list(self.parts.lacking(set().union(*parts.values())))
-        self.parts.update(zip(new, self._library(new), strict=True))
-        self.words.update((w, b"".join(map(self.parts.__getitem__, x))) for w, x in parts.items())
-        out = [b"".join(map(self.words.__getitem__, x)) for x in cut]
+        ids = self.words.values_of(list(chain.from_iterable(cut)), self._encode_words)
+        ends = list(accumulate(map(len, cut), initial=0))
+        out = [b"".join(ids[a:b]) for a, b in pairwise(ends)]
         if whole:
             for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-                out[i] = x
+                out[i] = x.tobytes()
         return out
 
 
@@ -234,8 +300,8 @@ def _write(path: str, folder: str, dtype: str, end_id: int | None) -> Callable[[
         index, offset, ids = [], 0, 0
         with store.open_output_stream(trial) as data:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
                     payloads = [x + end for x in e.texts([x or "" for x in part.column("text").to_pylist()])]
                     for doc, x, r in zip(part.column("doc_id").to_pylist(), payloads, frame(payloads), strict=True):
                         index.append((-1 << 63 if doc is None else doc, offset, len(x) // width))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,16 @@ def test_unigram_equals_all_segmentations():
         assert abs(sum(c.penalty if p == "<unk>" else c.score[p] for p in parts) - best(w)) < 1e-9
 
 
+def test_long_runs_and_words_take_linear_time():
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=PATH), Codec.load(PATH)
+    for t in (" " * 100_000 + "x", "ab" * 20_000, "a" * 50_001, ("x" + " " * 999) * 30):
+        start = time.process_time()
+        got = c.encode([t])[0]
+        assert time.process_time() - start < 3
+        assert np.frombuffer(got, c.dtype).tolist() == sp.encode(t)
+        assert c.decode(got) == t
+
+
 def test_frames(spark):
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(None, None, None), (1, " ", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(5)

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -26,11 +27,30 @@ def test_words_encode_like_the_library():
 
 
 def test_store_of_two_generations():
-    k = Kept(2)
-    for keys in ({1, 2}, {3}, {1, 4}, {5, 1}):
-        k.update((x, -x) for x in k.lacking(keys))
-        assert all(k[x] == -x for x in keys)
-    assert k.lacking({1, 5, 9}) == {9}
+    k, made = Kept(2), []
+
+    def make(new):
+        made.append(new)
+        return [(x, x.upper()) for x in new]
+
+    for keys in (["b", "a", "b"], ["c"], ["a", "d"], ["e", "a"], ["e" * 100] * 2, []):
+        assert k.values_of(keys, make) == [x.upper() for x in keys]
+    assert made[0] == ["a", "b"]
+    assert "e" * 100 not in k
+    assert len(k) + len(k.old) < 8
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A tokenizer that differs in its normaliser alone isn't cut by words; nor is one of another kind."""
+    told = json.loads(open(PATH).read())
+    told["normalizer"]["normalizers"].pop()
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    assert encoder(PATH, "<u2").split
+    for path in (str(tmp_path / "t.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        t, e = Tokenizer.from_file(path), encoder(path, "<u2")
+        assert not e.split
+        some = [x or "" for x in texts()]
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.texts(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
 def test_crc_and_frames():
