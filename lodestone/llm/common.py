@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast when it was counted and has at most this many narrow rows.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast when its counted rows have at most so many bytes.
+BROADCAST_BYTES = 8 << 20
 
 _U = np.uint64
 
@@ -24,25 +27,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in one JVM a folder of our own if that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and kept.isDefined():
+        at = kept.get()
     if not at:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    if not kept.isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder, its lineage cut; files go when it is unreachable."""
+    """The frame written to the shared folder, its lineage cut.
+
+    Its files go once it is unreachable if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else they
+    stay. What an operator needs only for itself is kept in a ``Scratch`` instead.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hints a broadcast if the frame's counted rows are few; else leaves the choice to AQE."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+class Scratch:
+    """Tables that one run of an operator keeps in the shared folder, each deleted when it is superseded.
+
+    Lineage ends at them, so a lost executor costs no more than the step at hand. They are read
+    in as many partitions as their bytes ask for, and their size is known to the planner.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at, self.paths = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.at)
+        self.collect_garbage()
+
+    def leave(self) -> None:
+        """For results that still read the tables: they go when the application ends."""
+        fs, where = self._where(self.at)
+        fs.deleteOnExit(where)
+
+    def _where(self, path: str) -> tuple:
+        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(jsc.hadoopConfiguration()), where
+
+    def _delete(self, path: str) -> None:
+        fs, where = self._where(path)
+        fs.delete(where, True)
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        for path, kept in list(self.paths.items()):
+            if kept is not None and any(kept is x for x in frames):
+                self._delete(path)
+                self.paths[path] = None
+
+    def collect_garbage(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of queries that are over; else they wait for the driver's next full collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Hints a broadcast if the frame's counted rows, at so many bytes each, are few; else leaves the choice to AQE."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:

@@ -30,6 +30,7 @@ equal sets form a class; all later work is on classes. Two classes link when
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, mix, slices, small, utf8, word_hashes
+from .common import Scratch, cut, mix, slices, small, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
 #: Bytes of text a fingerprint bucket is meant for.
 BUCKET_BYTES = 12 << 20
+#: Buckets that a part of the texts deals its fingerprints to at once.
+COARSE = 1024
 #: Longs of a set's sketch.
 SKETCH = 16
 _MARKS = [f"s{j}" for j in range(SKETCH)]
@@ -103,18 +106,47 @@ def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[t
                 yield part.slice(a, b - a), texts[a:b]
 
 
-def _fingerprints(buckets: int):
-    """Rows of documents (bucket, doc_id, th, n, cls) and of packed fingerprints (bucket, payload)."""
+def _payloads(values: np.ndarray, owner: np.ndarray, names: np.ndarray, bucket: np.ndarray, kind: type) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload) of each bucket that occurs; a payload holds classes and their fingerprints, of ``kind``."""
+    order = np.lexsort((owner, bucket))
+    values, owner, bucket = values[order].astype(kind), owner[order], bucket[order]
+    ends = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else []
+    for lo, hi in pairwise(ends):
+        who, local = np.unique(owner[lo:hi], return_inverse=True)
+        yield int(bucket[lo]), np.array([len(who), hi - lo], np.int64).tobytes() + names[who].tobytes() + np.bincount(local).astype(np.int32).tobytes() + values[lo:hi].tobytes()
+
+
+def _unpacked(payloads: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of payloads, and the class of each."""
+    fps, who = [np.zeros(0, kind)], [np.zeros(0, _U)]
+    for raw in payloads:
+        n, m = np.frombuffer(raw, np.int64, 2)
+        counts = np.frombuffer(raw, np.int32, n, 16 + 8 * n)
+        fps.append(np.frombuffer(raw, kind, m, 16 + 12 * n))
+        who.append(np.repeat(np.frombuffer(raw, _U, n, 16), counts))
+    return np.concatenate(fps), np.concatenate(who)
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+
+
+def _fingerprints(buckets: int, coarse: int):
+    """Rows of documents (bucket, doc_id, th, n, cls) and of packed fingerprints (bucket, payload).
+
+    With more buckets than ``coarse`` fingerprints stay whole and go to coarse buckets, which
+    ``_finer`` divides, so that a part of the texts has no more rows than there are coarse ones.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("payload", pa.binary())])
+    few, kind = min(buckets, coarse), np.uint32 if buckets <= coarse else _U
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _parts(batches):
             sets, sizes = shingle_sets(texts)
             cls = class_ids(sets, sizes)
-            names = _binary(cls)
             rows = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets + np.arange(rows, dtype=np.int32) % buckets), batch.column("doc_id"), batch.column("th"), pa.array(sizes.astype(np.int32)), pa.array(names, pa.binary()), pa.nulls(rows, pa.binary())],
+                [pa.array(-1 - np.arange(rows, dtype=np.int32) % buckets), batch.column("doc_id"), batch.column("th"), pa.array(sizes.astype(np.int32)), pa.array(_binary(cls), pa.binary()), pa.nulls(rows, pa.binary())],
                 schema=schema,
             )
             # each class once; a fingerprint of one batch is sent once, and marked if two classes of the batch have it
@@ -125,21 +157,30 @@ def _fingerprints(buckets: int):
             owner = np.repeat(np.arange(rows, dtype=np.int32), sizes)
             held = keep[owner]
             values, owner = sets[held], owner[held]
-            bucket = ((values >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            values, owner, bucket = values[order].astype(np.uint32), owner[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            some, payloads = [], []
-            for b in range(buckets):
-                lo, hi = ends[b], ends[b + 1]
-                if lo == hi:
-                    continue
-                who, local = np.unique(owner[lo:hi], return_inverse=True)
-                some.append(b)
-                payloads.append(np.array([len(who), hi - lo], np.int64).tobytes() + cls[who, 0].tobytes() + np.bincount(local).astype(np.int32).tobytes() + values[lo:hi].tobytes())
-            n = len(some)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(payloads, pa.binary())], schema=schema)
+            yield _payload_rows(_payloads(values, owner, np.ascontiguousarray(cls[:, 0]), _bucket(values, few), kind), schema)
+
+    return run
+
+
+def _payload_rows(payloads: Iterator[tuple[int, bytes]], schema: pa.Schema) -> pa.RecordBatch:
+    some = list(payloads)
+    n = len(some)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), *(pa.nulls(n, f.type) for f in list(schema)[1:-1]), pa.array([x for _, x in some], pa.binary())], schema=schema)
+
+
+def _finer(buckets: int, most: int = 64):
+    """Documents pass; payloads of coarse buckets are divided, about ``most`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.filter(pc.is_null(batch.column("payload")))
+            if docs.num_rows:
+                yield docs
+            held = batch.column("payload").drop_null().to_pylist()
+            for at in range(0, len(held), most):
+                values, who = _unpacked(held[at : at + most], _U)
+                names, owner = np.unique(who, return_inverse=True)
+                yield _payload_rows(_payloads(values, owner, names, _bucket(values, buckets), np.uint32), batch.schema)
 
     return run
 
@@ -147,16 +188,9 @@ def _fingerprints(buckets: int):
 def _count_shared(group: pa.Table) -> pa.Table:
     """Documents pass; of fingerprints, how many of each class some other class has too."""
     docs = group.filter(pc.is_null(group["payload"]))
-    fps, who = [], []
-    for raw in group["payload"].drop_null().to_pylist():
-        n, m = np.frombuffer(raw, np.int64, 2)
-        names = np.frombuffer(raw, _U, n, 16)
-        counts = np.frombuffer(raw, np.int32, n, 16 + 8 * n)
-        fps.append(np.frombuffer(raw, np.uint32, m, 16 + 12 * n))
-        who.append(np.repeat(names, counts))
+    fp, cl = _unpacked(group["payload"].drop_null().to_pylist(), np.uint32)
     keys, shared = np.zeros(0, _U), np.zeros(0, np.int64)
-    if fps:
-        fp, cl = np.concatenate(fps), np.concatenate(who)
+    if len(fp):
         names, cl = np.unique(cl, return_inverse=True)
         pair = np.unique((fp.astype(_U) << _U(32)) | cl.astype(_U))
         fp, cl = (pair >> _U(32)).astype(np.uint32), (pair & _U(0xFFFFFFFF)).astype(np.int64)
@@ -254,69 +288,89 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): each node's smallest reachable node, by alternating large and small stars.
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, comp) of (a, b) edges: each node's smallest reachable node, by alternating large and small stars.
 
-    Every pass keeps connectivity and only shortens paths; it ends when the edges are stars.
-    Nothing but two totals reaches the driver.
+    Every pass keeps connectivity and only shortens paths; it ends when the edges are stars. Nothing
+    but two totals reaches the driver. Minima are kept before they are joined, so that
+    the edges of a hub can be split among tasks.
     """
-    e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct()
-    e = cut(e)
-    before = None
+    e, before = scratch.keep(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()), None
     while True:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = cut(large.where("u < v").distinct())
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        e = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        e = cut(e.where("u < v").distinct())
+        low = scratch.keep(both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v")))
+        large = scratch.keep(both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct())
+        scratch.drop(e, low)
+        low = scratch.keep(large.groupBy("v").agg(F.min("u").alias("m")))
+        e = scratch.keep(large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("u < v").distinct())
+        scratch.drop(large, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             break
         before = now
-    leaves = e.select(F.col("v").alias("node"), F.col("u").alias("comp"))
-    return leaves.unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    out = scratch.keep(e.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct()))
+    scratch.drop(e)
+    return out
 
 
-def _links(sets: DataFrame, classes: int) -> DataFrame | None:
+def _placed(rows: DataFrame, comps: DataFrame | None, node: str, comp: str) -> DataFrame:
+    """The rows with the component of a class, which is its own where it has no link."""
+    if comps is None:
+        return rows.withColumn(comp, F.col(node))
+    own = comps.select(F.col("node").alias(node), F.col("comp").alias(comp))
+    return rows.join(own, node, "left").withColumn(comp, F.coalesce(comp, node))
+
+
+def _links(scratch: Scratch, sets: DataFrame) -> DataFrame | None:
     """(node, comp): the components of all links between classes; None if nothing was linked."""
-    signed = sets.select("c1", "u", "members").mapInArrow(_sign, "key long, c1 long, n int, u int")
+    signed = scratch.keep(sets.select("c1", "u", "members").mapInArrow(_sign, "key long, c1 long, n int, u int"))
     keys = signed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("c1")).alias("x"), F.min("c1").alias("least"))
-    keys = keys.where("size > 1").groupBy("size", "x", "least").agg(F.min("key").alias("key")).select("key")
-    keys = cut(keys)
-    groups = cut(signed.join(small(keys), "key"))
-    lookup = sets.select("c1", "members")
-    marks = small(sets.select("c1", *_MARKS), classes)
+    keys = scratch.keep(keys.where("size > 1").groupBy("size", "x", "least").agg(F.min("key").alias("key")).select("key"))
+    groups = scratch.keep(signed.join(keys, "key"))
+    scratch.drop(signed, keys)
+    lookup, marks = sets.select("c1", "members"), sets.select("c1", *_MARKS)
     apart = " + ".join(f"bit_count(s{j} ^ t{j})" for j in range(SKETCH))
-    links, comps, tested, centres = None, None, None, 1
+    comps, tested, centres = None, None, 1
     while True:
-        if comps is not None:
-            placed = groups.join(small(comps), groups.c1 == comps.node, "left").select("key", "c1", "n", "u", F.coalesce("comp", "c1").alias("comp"))
-        else:
-            placed = groups.withColumn("comp", F.col("c1"))
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-        todo = cut(placed.join(mixed, "key", "left_semi"))
+        placed = scratch.keep(_placed(groups, comps, "c1", "comp"))
+        scratch.drop(groups)
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        mixed = scratch.keep(mixed)
+        todo = scratch.keep(placed.join(mixed, "key", "left_semi"))
+        scratch.drop(placed, mixed)
         if todo.isEmpty():
-            break
+            return comps
         # centres: of the components that have fewest members in the group, the members with fewest shingles of their own
+        parts = scratch.keep(todo.groupBy("key", "comp").agg(F.count("*").alias("size")))
         order = Window.partitionBy("key").orderBy("size", F.col("u") / F.col("n"), "c1")
         chosen = todo.join(parts, ["key", "comp"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres)
-        chosen = cut(chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m"), F.col("u").alias("v")))
+        chosen = chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m"), F.col("u").alias("v"))
+        chosen = scratch.keep(chosen.join(marks.withColumnsRenamed({"c1": "a"} | {f"s{j}": f"t{j}" for j in range(SKETCH)}), "a"))
         near = "comp <> of and 100 * least(n, m) >= 80 * greatest(n, m) and 9 * (u + v) <= n + m"
-        centred = chosen.join(marks.withColumnsRenamed({"c1": "a"} | {f"s{j}": f"t{j}" for j in range(SKETCH)}), "a")
-        pairs = todo.join(marks, "c1").join(centred, "key").where(f"{near} and 9 * ({apart}) <= n + m")
+        pairs = todo.join(chosen, "key").where(near).join(marks, "c1").where(f"9 * ({apart}) <= n + m")
         pairs = pairs.select(F.least("a", "c1").alias("a"), F.greatest("a", "c1").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         both = pairs.join(lookup.withColumnsRenamed({"c1": "b", "members": "q"}), "b").join(lookup.withColumnsRenamed({"c1": "a", "members": "p"}), "a")
-        found = cut(both.mapInArrow(_verify, "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-        comps = cut(components(links))
-        groups = todo.join(chosen, (todo.key == chosen.key) & (todo.c1 == chosen.a), "left_anti").select("key", "c1", "n", "u")
+        found = scratch.keep(both.mapInArrow(_verify, "a long, b long"))
+        # links between components found before: only those meet again
+        between = _placed(_placed(found, comps, "a", "x"), comps, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        now = components(scratch, between)
+        if comps is None:
+            later = now
+        else:
+            moved = comps.join(now.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            later = scratch.keep(moved.unionByName(now.join(comps.select("node"), "node", "left_anti")))
+            scratch.drop(now, comps)
+        comps = later
+        groups = scratch.keep(todo.join(chosen.select("key", F.col("a").alias("c1")), ["key", "c1"], "left_anti").select("key", "c1", "n", "u"))
+        if tested is not None:
+            again = scratch.keep(tested.unionByName(pairs))
+            scratch.drop(tested, pairs)
+            pairs = again
+        tested = pairs
+        scratch.drop(todo, parts, chosen, found)
+        scratch.collect_garbage()
         centres *= 8
-    return comps
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -326,41 +380,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     documents of one class. A null doc_id gets the component_id of its class, the smallest other
     doc_id, or null if there is none. Other columns are ignored. An empty table gives no rows.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(scratch, docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+
+
+def _near_duplicates(scratch: Scratch, base: DataFrame) -> DataFrame:
     base = base.withColumn("th", F.xxhash64("text"))
     weight = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(weight // BUCKET_BYTES) + 4
-    schema = "bucket int, doc_id long, th long, n int, cls binary, payload binary"
-    counted = base.mapInArrow(_fingerprints(buckets), schema).groupBy("bucket").applyInArrow(_count_shared, "doc_id long, th long, n int, cls binary, c1 long, shared long")
-    counted = cut(counted)
+    dealt = base.mapInArrow(_fingerprints(buckets, COARSE), (schema := "bucket int, doc_id long, th long, n int, cls binary, payload binary"))
+    if buckets > COARSE:
+        dealt = dealt.repartition(COARSE, "bucket").mapInArrow(_finer(buckets), schema)
+    counted = scratch.keep(dealt.groupBy("bucket").applyInArrow(_count_shared, "doc_id long, th long, n int, cls binary, c1 long, shared long"))
     named = counted.where("cls is not null").select("doc_id", "th", "n", "cls")
     shared = counted.where("cls is null").groupBy("c1").agg(F.sum("shared").alias("shared"))
     classes = named.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))
     # two shingles of one class may have one fingerprint, which is counted once: hence the margin
     classes = classes.withColumn("c1", _low(F.col("cls"))).join(shared, "c1", "left")
-    classes = cut(classes.withColumn("shared", F.least(F.col("n"), F.col("shared") + 2 + F.expr("n div 100000"))))
-    kept = classes.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select("cls", "rep", (F.col("n") - F.col("shared")).cast("int").alias("u"))
-    n = kept.count()
-    reps = kept.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"))
-    found = base.join(small(reps, n), base.doc_id.eqNullSafe(F.col("rid")) & (base.th == F.col("rth")), "left_semi")
+    classes = scratch.keep(classes.withColumn("shared", F.least(F.col("n"), F.col("shared") + 2 + F.expr("n div 100000"))))
+    kept = classes.where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    reps = scratch.keep(kept.select(F.col("rep.doc_id").alias("rid"), F.col("rep.th").alias("rth"), (F.col("n") - F.col("shared")).cast("int").alias("u"), "cls"))
+    found = base.join(small(reps.select("rid", "rth")), base.doc_id.eqNullSafe(F.col("rid")) & (base.th == F.col("rth")), "left_semi")
     sets = found.select("text").mapInArrow(_sets, "cls binary, c1 long, members binary, " + ", ".join(f"{m} long" for m in _MARKS))
     sets = sets.where("length(members) > 0").groupBy("cls").agg(F.first("c1").alias("c1"), F.first("members").alias("members"), *[F.first(m).alias(m) for m in _MARKS])
-    sets = cut(sets.join(small(kept.select("cls", "u"), n), "cls"))
-    comps = _links(sets, n)
+    sets = scratch.keep(sets.join(reps.select("cls", "u"), "cls"))
+    comps = _links(scratch, sets)
     ids = classes.select("cls", "c1", "least")
     if comps is not None:
-        joined = ids.join(small(comps), ids.c1 == comps.node)
-        lowest = joined.groupBy("comp").agg(F.min("least").alias("lowest"))
-        moved = joined.join(lowest, "comp").select("cls", "lowest")
-        ids = ids.join(moved, "cls", "left").select("cls", F.coalesce("lowest", "least").alias("component"))
+        joined = _placed(ids, comps, "c1", "comp")
+        ids = scratch.keep(joined.join(joined.groupBy("comp").agg(F.min("least").alias("lowest")), "comp").select("cls", F.col("lowest").alias("component")))
     else:
         ids = ids.select("cls", F.col("least").alias("component"))
-    # copies of one class may be a third of all rows: the join is by class and piece, each class copied to all pieces
-    pieces = 16
-    left = named.withColumn("piece", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id", "th"), F.lit(pieces)).cast("int")))
-    right = ids.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    out = left.join(right, ["cls", "piece"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls", "th")
+    # copies of one class may be a third of all rows: both sides are dealt as they are, so that such a part can be split among tasks
+    out = named.where("n > 0").join(ids, "cls", "left").unionByName(named.where("n = 0").withColumn("component", F.lit(None).cast("long")))
+    return cut(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "cls", "th"))
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -370,7 +423,7 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     that share its doc_id and its class are one document: one of them stays. Documents without words
     stay, as do rows with a null doc_id in groups of none other.
     """
-    near = cut(near_duplicates(docs, text, doc_id))
+    near = near_duplicates(docs, text, doc_id)
     gone = near.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     again = near.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "cls").agg(F.count("*").alias("n"), F.min("th").alias("first"), F.collect_set("th").alias("ths")).where("n > 1")
     again = cut(again.select(F.col("doc_id").alias("_d"), "first", F.explode("ths").alias("_t")))

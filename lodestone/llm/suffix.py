@@ -29,17 +29,21 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, powers, prefix_hashes, utf8
+from .common import Scratch, mix, powers, prefix_hashes, utf8
 
 LENGTH = 400
 KMER = 32
 GROUP = 40_000
+#: Bytes of contexts that a task settles at once, when no key has more.
+BUCKET_BYTES = 4 << 20
 _U = np.uint64
 _CHUNK = 1 << 20
 _NONE = -(1 << 63)
@@ -131,16 +135,20 @@ def _find(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+_SPOT = "did long, th long, pos int, key long, ctx long, c long"
+
+
 def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     reach = length - KMER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, spots in zip(utf8(batch.column("text")), batch.column("spots"), strict=True):
+            for did, th, text, spots in zip(batch.column("did").to_pylist(), batch.column("th").to_pylist(), utf8(batch.column("text")), batch.column("spots"), strict=True):
                 spots = spots.as_py()
                 lefts = [text[max(0, s["pos"] - reach) : s["pos"]][::-1] for s in spots]
                 rights = [text[s["pos"] : s["pos"] + length] for s in spots]
-                yield pa.RecordBatch.from_arrays([pa.array([s[c] for s in spots], pa.int64()) for c in ("key", "ctx", "c")] + [pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["key", "ctx", "c", "left", "right"])
+                own = [pa.array([did] * len(spots), pa.int64()), pa.array([th] * len(spots), pa.int64()), pa.array([s["pos"] for s in spots], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([s[c] for s in spots], pa.int64()) for c in ("key", "ctx", "c")), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["did", "th", "pos", "key", "ctx", "c", "left", "right"])
 
     return run
 
@@ -195,27 +203,29 @@ def interval_tree(lefts: list[bytes], rights: list[bytes], length: int = LENGTH)
 
 def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        by: dict[int, list[int]] = {}
-        for i, k in enumerate(rows["key"]):
-            by.setdefault(k, []).append(i)
-        keys, ctxs, ls, rs = [], [], [], []
-        for k, own in by.items():
-            for i, (a, b) in zip(own, interval_tree([rows["left"][i] for i in own], [rows["right"][i] for i in own], length), strict=True):
-                if a + b >= length and rows["c"][i] < 2:
-                    keys.append(k)
-                    ctxs.append(rows["ctx"][i])
+        order = pc.sort_indices(group["key"])
+        group = group.take(order)
+        keys = group["key"].to_numpy()
+        once = pc.less(group["c"], 2).to_pylist()
+        ends = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        rows, ls, rs = [], [], []
+        for lo, hi in pairwise(ends):  # one key's contexts at a time
+            found = interval_tree(group["left"][lo:hi].to_pylist(), group["right"][lo:hi].to_pylist(), length)
+            for i, (a, b) in enumerate(found, lo):
+                if a + b >= length and once[i]:
+                    rows.append(i)
                     ls.append(a)
                     rs.append(b)
-        return pa.table([pa.array(keys, pa.int64()), pa.array(ctxs, pa.int64()), pa.array(ls, pa.int32()), pa.array(rs, pa.int32())], names=["key", "ctx", "l", "r"])
+        some = group.select(["did", "th", "pos"]).take(pa.array(rows, pa.int64()))
+        return some.append_column("l", pa.array(ls, pa.int32())).append_column("r", pa.array(rs, pa.int32()))
 
     return run
 
 
-def _halve(contexts: DataFrame, length: int) -> DataFrame:
-    """What ``_settle`` finds, for groups of any size: (key, ctx, l, r)."""
-    rows = contexts.select("key", "ctx", "c", "left", "right", F.lit(0).alias("lo"), F.lit(length - KMER).alias("hi"))
-    found = None
+def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
+    """What ``_settle`` finds, for groups of any size: (did, th, pos, l, r); a null ``did`` marks settled contexts that stay as partners."""
+    rows = contexts.select("did", "th", "pos", "key", "c", "left", "right", F.lit(0).alias("lo"), F.lit(length - KMER).alias("hi"))
+    found: list[DataFrame] = []
     while True:
         part = lambda c, n: F.expr(f"substring({c}, 1, {n})")
         rows = rows.where(f"length(left) >= lo and length(right) >= {length} - hi")
@@ -225,22 +235,29 @@ def _halve(contexts: DataFrame, length: int) -> DataFrame:
                 "b": F.xxhash64("key", "lo", "hi", part("left", "hi"), F.length(part("left", "hi")), part("right", f"{length} - lo")),
             }
         )
-        rows = cut(rows)
+        rows = scratch.keep(rows)
         if rows.isEmpty():
             break
-        same = rows.groupBy("a", "b").agg(F.sum("c").alias("all"))
-        near = same.groupBy("a").agg(F.sum("all").alias("near"), F.count_if(F.col("all") < 2).alias("open"))
-        met = rows.join(same.where("all > 1").select("b", "all"), "b", "left")
-        done = met.where("all > 1 and ctx is not null").select("key", "ctx", F.least("hi", F.length("left")).alias("l"), F.least(F.lit(length) - F.col("lo"), F.length("right")).alias("r"))
-        found = cut(done.where(F.col("l") + F.col("r") >= length)) if found is None else found.unionByName(cut(done.where(F.col("l") + F.col("r") >= length)))
+        same = scratch.keep(rows.groupBy("a", "b").agg(F.sum("c").alias("all"), F.count("*").alias("n"), F.count("pos").alias("open")))
+        near = same.groupBy("a").agg(F.sum("all").alias("near"), F.count_if(F.col("all") < 2).alias("open")).where("near > 1 and open > 0").select("a")
+        met = scratch.keep(rows.join(same.where("all > 1").select("b", "all"), "b", "left"))
+        done = met.where("all > 1 and pos is not null and c < 2").select("did", "th", "pos", F.least("hi", F.length("left")).alias("l"), F.least(F.lit(length) - F.col("lo"), F.length("right")).alias("r"))
+        found.append(scratch.keep(done.where(F.col("l") + F.col("r") >= length)))
         # settled contexts stay as one, as partners of those still open
-        settled = met.where("all > 1").groupBy("a", "b").agg(F.first("key").alias("key"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.lit(2).cast("long").alias("c"), F.lit(None).cast("long").alias("ctx"))
-        cols = ["a", "key", "ctx", "c", "left", "right", "lo", "hi"]
-        left = met.where("all is null").select(cols).unionByName(settled.select(cols)).join(near.where("near > 1 and open > 0"), "a", "left_semi").where("lo < hi")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("did", "long"), ("th", "long"), ("pos", "int"))]
+        settled = met.where("all > 1").groupBy("a", "b").agg(F.first("key").alias("key"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.lit(2).cast("long").alias("c"))
+        cols = ["a", "did", "th", "pos", "key", "c", "left", "right", "lo", "hi"]
+        left = met.where("all is null").select(cols).unionByName(settled.select("*", *none).select(cols)).join(near, "a", "left_semi").where("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         left = left.withColumn("x", F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))))
-        rows = left.select("key", "ctx", "c", "left", "right", "x.lo", "x.hi")
-    return found if found is not None else contexts.select("key", "ctx", F.lit(0).alias("l"), F.lit(0).alias("r")).limit(0)
+        after = scratch.keep(left.select("did", "th", "pos", "key", "c", "left", "right", "x.lo", "x.hi"))
+        scratch.drop(rows, same, met)
+        scratch.collect_garbage()
+        rows = after
+    out = contexts.select("did", "th", "pos", F.lit(0).alias("l"), F.lit(0).alias("r")).limit(0)
+    for part_ in found:
+        out = out.unionByName(part_)
+    return out
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,30 +300,30 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, keep: tuple[str, ...]) -> Da
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(did, th, spans): byte ranges to remove, overlapping as found, of texts keyed by did and th."""
-    occ = cut(rows.select("did", "th", "text").mapInArrow(_find(length), "did long, th long, key long, ctx long, pos int, l int, r int"))
-    same = occ.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "pos", "l", "r")).alias("x"))
-    same = cut(same.select("key", "ctx", "c", "x.*"))
-    kinds = same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    need = cut(same.join(kinds, "key"))
-    whole = same.where("c > 1").select("key", "ctx", "l", "r")
+    occ = scratch.keep(rows.select("did", "th", "text").mapInArrow(_find(length), "did long, th long, key long, ctx long, pos int, l int, r int"))
+    same = scratch.keep(occ.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "pos", "l", "r")).alias("x")).select("key", "ctx", "c", "x.*"))
+    # both sides of this join are dealt as they are kept, so that a context with a large part of all occurrences can be split
+    whole = occ.join(same.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select("did", "th", "pos", "l", "r")
+    kinds = scratch.keep(same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    need = scratch.keep(same.join(kinds, "key").select("did", "th", "pos", "key", "ctx", "c", "kinds"))
+    scratch.drop(kinds)
 
     def fetch(part: DataFrame) -> DataFrame:
         spots = part.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "key", "ctx", "c")).alias("spots"))  # a text's own anchors
         # all columns are asked for, so that this exchange of the texts is the one that the caller's join uses again
-        return rows.join(spots, ["did", "th"]).select("did", "th", "text", "row", "spots").mapInArrow(_contexts(length), "key long, ctx long, c long, left binary, right binary")
-
-    few = fetch(need.where(F.col("kinds") <= group))
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    settled = few.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets))).applyInArrow(_settle(length), "key long, ctx long, l int, r int")
-    found = whole.unionByName(settled)
-    many = need.where(F.col("kinds") > group)
-    if not many.isEmpty():
-        found = found.unionByName(_halve(fetch(many), length).groupBy("key", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r")))
-    found = found.groupBy("key", "ctx").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    spans = occ.select("did", "th", "key", "ctx", "pos").join(found, ["key", "ctx"])
-    spans = spans.select("did", "th", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("s"))
+        return rows.join(spots, ["did", "th"]).select("did", "th", "text", "row", "spots").mapInArrow(_contexts(length), f"{_SPOT}, left binary, right binary")
+
+    size = need.agg(F.count("*"), F.max("kinds")).first()
+    buckets = size[0] * 2 * length // BUCKET_BYTES + 4
+    few = fetch(need.where(F.col("kinds") <= group)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    out = "did long, th long, pos int, l int, r int"
+    # repeats of contexts that occur once; those of the others are whole
+    found = whole.unionByName(few.groupBy("bucket").applyInArrow(_settle(length), out))
+    if (size[1] or 0) > group:
+        found = found.unionByName(_halve(scratch, fetch(need.where(F.col("kinds") > group)), length))
+    spans = found.select("did", "th", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("s"))
     return spans.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))  # a text's own spans
 
 
@@ -319,7 +336,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tup
     ignored, whatever their names.
     """
     rows = _keyed(docs, text, doc_id, keep)
-    spans = repeated_spans(rows, length, group)
+    scratch = Scratch(docs.sparkSession)
+    spans = repeated_spans(scratch, rows, length, group)
+    scratch.leave()  # the result reads it
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.join(spans, ["did", "th"], "left").select("did", "th", "text", "row", "spans").mapInArrow(
         _remove, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<a:int,b:int>>, kept_text string"

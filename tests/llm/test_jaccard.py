@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from lodestone.llm import common, jaccard
 from lodestone.llm.jaccard import bands, near_duplicates, segments, shingle_sets, signatures
 
 LETTERS = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -95,3 +96,30 @@ def test_shingles_of_short_and_long_texts():
     s, n = shingle_sets([b"a b", b"", b"a b c d e f", b"A B C D E F", b"a b c d e a b c d e"])
     assert n.tolist() == [1, 0, 2, 2, 5]
     assert (s[1:3] == s[3:5]).all()
+
+
+def test_coarse_and_fine_buckets(spark, monkeypatch):
+    """Fingerprints that are dealt in two levels are counted alike."""
+    rows = corpus(3)
+    monkeypatch.setattr(jaccard, "COARSE", 3)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 4_000)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
+
+
+def test_chains_of_links(spark):
+    """Components that only meet over several rounds: each text is linked with the next one alone."""
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 60])) for i in range(100)] + [(500 + i, " ".join(words[3 * i : 3 * i + 60])) for i in range(40)]
+    r = random.Random(1)
+    r.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows)
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    near_duplicates(spark.createDataFrame(corpus(4, 40), "doc_id long, text string")).count()
+    monkey.undo()
+    assert not list(tmp_path.glob("scratch-*"))
