@@ -177,14 +177,14 @@ class Codec:
         return self._packed([(self.ids.get(p, -1), p) for p in parts])
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Sorted distinct words with their ids; a depth-first walk over their trie.
+        """Distinct words with their ids; sorted, they lay out a trie, which is walked depth-first.
 
         A state is (score, id, length) of the last piece of its prefix's segmentation. Pieces that
         end at a place are found by an automaton of the vocabulary, longest first.
         """
         bpe, joins, found, ids = self.bpe, self.joins, self.found, self.ids
         path, state = "", [(0.0, -1, 0)]
-        for word in words:
+        for word in sorted(words):
             if bpe and word[:2] == MARK * 2:
                 yield word, self._ids(self._merged(word))
                 continue

@@ -4,11 +4,13 @@ A record frames one serialized sequence: its length (8 bytes), the masked checks
 (4), the ids as little-endian unsigned integers, and their masked checksum (4). Checksums are
 CRC-32C, rotated right by 15 bits plus 0xA282EAD8. Each data file ``ids-NNNNN.rec`` has an index
 ``ids-NNNNN.idx`` of its own: for each record its document's id, the byte offset where it begins
-and its number of ids (three 8-byte little-endian integers, after a 16-byte head), so that
-readers can fetch records in any order. Ids are two bytes wide if the vocabulary allows.
+and its number of ids, or the complement of that number if the document has no id (three 8-byte
+little-endian integers, after a 16-byte head), so that readers can fetch records in any order.
+Ids are two bytes wide if the vocabulary allows.
 
 Files are written beside their final names and renamed, with the same content on every try, so
-that a lost executor's files are simply written again.
+that a lost executor's files are simply written again. A failed try deletes what it wrote; what a
+lost executor leaves goes when all files are there.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from pyspark.sql.window import Window
 from .common import shared_dir
 
 #: Words kept with their ids in each Python worker, in either of two generations.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Most bytes of text, and records, that a file is meant for.
+FILE_BYTES, FILE_ROWS = 128 << 20, 1 << 20
 _MAGIC = b"LODEIDX1"
 _HEAD = "<8sII"
 
@@ -53,6 +57,10 @@ class _Crc:
     table = np.array(_crc_table(), np.uint32)
     step = 2048  # bytes of a block
 
+    #: What two bytes at once do.
+    first = table[np.arange(1 << 16) & 255] ^ (np.arange(1 << 16, dtype=np.uint32) >> np.uint32(8))
+    pairs = table[first & 255] ^ (first >> np.uint32(8))
+
     def __init__(self) -> None:
         # what appending 2**k zero bytes does to a checksum, as four 256-entry tables
         one = np.arange(256, dtype=np.uint32)
@@ -84,12 +92,14 @@ class _Crc:
             grid = np.zeros((len(blocks), self.step), np.uint8)
             for row, b in enumerate(order):
                 grid[row, : lens[b]] = np.frombuffer(blocks[b], np.uint8)
-            grid = np.ascontiguousarray(grid.T)
+            words = np.ascontiguousarray(grid.view("<u2").T)
             crc = np.zeros(len(blocks), np.uint32)
-            active = np.searchsorted(-length[order], -np.arange(1, self.step + 1), side="right")
-            for j in range(int(length.max())):
+            active = np.searchsorted(-length[order], -2 * np.arange(1, self.step // 2 + 1), side="right")
+            for j in range(int(length.max()) // 2):
                 n = active[j]
-                crc[:n] = self.table[(crc[:n] ^ grid[j, :n]) & 255] ^ (crc[:n] >> np.uint32(8))
+                crc[:n] = self.pairs[(crc[:n] ^ words[j, :n]) & 0xFFFF] ^ (crc[:n] >> np.uint32(16))
+            odd = np.flatnonzero(length[order] & 1)
+            crc[odd] = self.table[(crc[odd] ^ grid[odd, length[order][odd] - 1]) & 255] ^ (crc[odd] >> np.uint32(8))
             raw = np.empty_like(crc)
             raw[order] = crc
             full = self.shift[11]
@@ -106,7 +116,7 @@ class _Crc:
         # the usual start and end values
         for i, x in enumerate(texts):
             init = 0xFFFFFFFF
-            for k in range(41):
+            for k in range(len(x).bit_length()):
                 if len(x) >> k & 1:
                     init = self._one(self.shift[k], init)
             out[i] ^= init ^ 0xFFFFFFFF
@@ -179,14 +189,14 @@ class Kept(dict):
         self.most, self.old = most, {}
 
     def values_of(self, keys: list[str], make: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[bytes]:
-        """The values of the keys; ``make`` gives those of sorted distinct keys that neither generation has."""
+        """The values of the keys; ``make`` gives those of distinct keys that neither generation has."""
         got = list(map(self.get, keys))
         at = [i for i, v in enumerate(got) if v is None]
         if at:
             lacking = {keys[i] for i in at}
             old = self.old
             found = {k: old[k] for k in lacking if k in old}
-            found.update(make(sorted(lacking.difference(found))))
+            found.update(make(list(lacking.difference(found))))
             for i in at:
                 got[i] = found[keys[i]]
             if len(self) > self.most:
@@ -298,16 +308,21 @@ def _write(path: str, folder: str, dtype: str, end_id: int | None) -> Callable[[
         store, at = _open(folder)
         trial = f"{at}/.trial-{k:05d}-{uuid.uuid4().hex}"
         index, offset, ids = [], 0, 0
-        with store.open_output_stream(trial) as data:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
-                    payloads = [x + end for x in e.texts([x or "" for x in part.column("text").to_pylist()])]
-                    for doc, x, r in zip(part.column("doc_id").to_pylist(), payloads, frame(payloads), strict=True):
-                        index.append((-1 << 63 if doc is None else doc, offset, len(x) // width))
-                        data.write(r)
-                        offset += len(r)
-                        ids += len(x) // width
+        try:
+            with store.open_output_stream(trial) as data:
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 1024):
+                        part = batch.slice(lo, 1024)
+                        payloads = [x + end for x in e.texts([x or "" for x in part.column("text").to_pylist()])]
+                        for doc, x, r in zip(part.column("doc_id").to_pylist(), payloads, frame(payloads), strict=True):
+                            n = len(x) // width
+                            index.append((0, offset, ~n) if doc is None else (doc, offset, n))
+                            data.write(r)
+                            offset += len(r)
+                            ids += n
+        except BaseException:
+            store.delete_file(trial)
+            raise
         name = f"ids-{k:05d}"
         if index:
             with store.open_output_stream(f"{trial}.idx") as out:
@@ -327,10 +342,15 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, *, text: st
     Null texts are empty and still get their record (and end id). A null doc_id comes first. Rows
     with equal doc_ids are ordered by a hash of their text. No rows, no files. ``dtype`` must hold
     all ids. Texts are dealt out before they are encoded, as dealing by range reads its input twice.
+    Very long texts are encoded whole, each in one task. Other columns are ignored, whatever their
+    names. There are as many files as shuffle partitions, or more where files would pass
+    ``FILE_BYTES`` of text or ``FILE_ROWS`` records.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size[0] or 0) // FILE_BYTES, size[1] // FILE_ROWS)
     rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     store, at = _open(folder)
     store.create_dir(at)
@@ -347,7 +367,9 @@ def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 magic, version, width = struct.unpack_from(_HEAD, raw)
                 if magic != _MAGIC or version != 1:
                     raise ValueError(f"{name}.idx is no index of this format")
-                index = np.frombuffer(raw, "<i8", offset=struct.calcsize(_HEAD)).reshape(-1, 3)
+                index = np.frombuffer(raw, "<i8", offset=struct.calcsize(_HEAD)).reshape(-1, 3).copy()
+                known = index[:, 2] >= 0
+                index[~known, 2] = ~index[~known, 2]
                 starts = base + np.cumsum(index[:, 2]) - index[:, 2]
                 with store.open_input_file(f"{at}/{name}.rec") as f:
                     for lo in range(0, len(index), 512):
@@ -357,8 +379,7 @@ def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                         f.seek(first)
                         payloads = unframe(f.read(last - first), (part[:, 1] - first).tolist())
                         crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in payloads]
-                        docs = [None if d == -1 << 63 else d for d in part[:, 0].tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts[lo : lo + 512]), pa.array(part[:, 2]), pa.array(crc, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0], mask=~known[lo : lo + 512]), pa.array(starts[lo : lo + 512]), pa.array(part[:, 2]), pa.array(crc, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return run
 
@@ -376,5 +397,9 @@ def round_trip(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = Non
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
     listed = write_records(docs, tokenizer_path, folder, text=text, doc_id=doc_id, end_id=end_id).collect()  # a row a file
+    store, at = _open(folder)
+    for left in store.get_file_info(fs.FileSelector(at)):
+        if left.base_name.startswith(".trial-"):
+            store.delete_file(left.path)
     schema = T.StructType.fromDDL("part int, name string, records long, n_ids long")
     return read_records(spark, spark.createDataFrame(listed, schema), folder)

@@ -30,7 +30,7 @@ def test_store_of_two_generations():
     k, made = Kept(2), []
 
     def make(new):
-        made.append(new)
+        made.append(sorted(new))
         return [(x, x.upper()) for x in new]
 
     for keys in (["b", "a", "b"], ["c"], ["a", "d"], ["e", "a"], ["e" * 100] * 2, []):
@@ -66,15 +66,15 @@ def test_crc_and_frames():
 
 
 def test_round_trip(spark):
-    rows = [(i * 7 % 331, x) for i, x in enumerate(texts())] + [(None, "a b"), (5000, "z"), (5000, "y y")]
-    got = sorted(round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), PATH, end_id=2).collect(), key=lambda r: r.start)
+    rows = [(i * 7 % 331, x) for i, x in enumerate(texts())] + [(None, "a b"), (5000, "z"), (5000, "y y"), (5000, "z"), (-(1 << 63), "c"), (6000, "Very long " * 300_000)]
+    got = sorted(round_trip(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as ids", "1 as start").repartition(6), PATH, end_id=2).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(PATH)
     want = {}
     for d, x in rows:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
         want.setdefault(d, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     at = 0
-    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    assert [r.doc_id for r in got] == [None, *sorted(d for d, _ in rows if d is not None)]
     for r in got:
         assert r.start == at
         at += r.n_tokens
