@@ -4,10 +4,12 @@ Each whole text gets word, symbol, line and repetition counts. Documents fail th
 (too few words, or mostly repeated three-word windows) or one of the soft rules (symbols,
 repeated lines). Failures are counted a host, a host being the value of a column; its rate is
 shrunk towards all hosts' with a beta prior fitted by moments to their rates, so that a host of
-few documents isn't judged by them alone. A host is ``blocked`` from a shrunk rate of
-``BLOCKED``, ``watched`` from ``WATCHED``, else ``trusted``; verdicts are joined back: a
-document that passes the base rule is dropped if its host is blocked, or if it fails a soft rule
-and its host is watched.
+few documents isn't judged by them alone. The prior weighs at least one document and at most as
+many as there are. Hosts are judged against the prior's mean, the rate of all documents: one is
+``blocked`` if its posterior rate, less ``SURE`` posterior deviations, passes ``BLOCKED`` times
+that mean, ``watched`` if its rate is above the mean, else ``trusted``. Verdicts are joined
+back: a document that passes the base rule is dropped if its host is blocked, or if it fails a
+soft rule and its host is watched; on a trusted host a soft failure is forgiven.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import _SPACE, cut, mix, slices, small, utf8, word_hashes
 
-BLOCKED = 0.5
-WATCHED = 0.01
+BLOCKED = 2.0
+SURE = 2.0
 _U = np.uint64
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _ODD = mix(np.arange(31, 34, dtype=_U)) | _U(1)
@@ -82,24 +84,25 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     """(host, n, fails, rate, verdict): failure rates shrunk by a beta prior fitted to the hosts."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("fails"))
     hosts = cut(hosts)
-    own = hosts.withColumn("r", F.col("fails") / F.col("n"))
-    mean = own.agg(F.sum("fails") / F.sum("n")).first()[0] or 0.0
+    all_fails, all_n, n_hosts = (float(x or 0) for x in hosts.agg(F.sum("fails"), F.sum("n"), F.count("*")).first())
+    mean = all_fails / max(all_n, 1.0)
     # the spread of rates beyond what sampling alone gives
-    spread = own.agg(F.sum(F.col("n") * F.pow(F.col("r") - F.lit(mean), 2)) / F.sum("n"), F.count("*") / F.sum("n")).first()
-    mean = min(max(float(mean), 1e-6), 1 - 1e-6)
-    seen, few = (float(x or 0.0) for x in spread)
-    real = max(seen - mean * (1 - mean) * few, 1e-9)
-    weight = min(max(mean * (1 - mean) / real - 1, 1.0), 1e4)
+    seen = hosts.agg(F.sum(F.col("n") * F.pow(F.col("fails") / F.col("n") - F.lit(mean), 2))).first()[0] or 0.0
+    real = seen / max(all_n, 1.0) - mean * (1 - mean) * n_hosts / max(all_n, 1.0)
+    weight = min(max(mean * (1 - mean) / real - 1, 1.0), all_n) if real > 0 else max(all_n, 1.0)
     rate = (F.col("fails") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    verdict = F.when(F.col("rate") >= BLOCKED, "blocked").when(F.col("rate") >= WATCHED, "watched").otherwise("trusted")
+    sure = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(weight) + 1))
+    above = F.col("fails") * F.lit(all_n) > F.lit(all_fails) * F.col("n")  # the shrunk rate's side of the mean, without rounding
+    verdict = F.when(sure > BLOCKED * mean, "blocked").when(above, "watched").otherwise("trusted")
     return hosts.withColumn("rate", rate).withColumn("verdict", verdict)
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
     """One row per document: its counts, base_failed, soft_failed, its host's rate and verdict, kept.
 
-    Null texts are empty and fail the base rule. Null hosts are one host. Rows that repeat are
-    judged alike. An empty table gives no rows; other columns are ignored.
+    Null texts are empty and fail the base rule. Very long texts are measured whole, a few
+    megabytes of words at a time. Null hosts are one host. Rows that repeat are judged alike. An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -125,11 +128,12 @@ m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace
       FROM w JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines AS soft_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed OR soft_failed)::DOUBLE AS fails FROM b GROUP BY source),
-p0 AS (SELECT sum(fails) / sum(n) AS mean FROM h),
-p1 AS (SELECT least(greatest(mean, 1e-6), 1 - 1e-6) AS mean, (SELECT sum(n * (fails / n - mean) ** 2) / sum(n) FROM h) AS seen, (SELECT count(*) / sum(n) FROM h) AS few FROM p0),
-p2 AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(seen - mean * (1 - mean) * few, 1e-9) - 1, 1.0), 1e4) AS weight FROM p1),
-v AS (SELECT source, (fails + mean * weight) / (n + weight) AS rate FROM h, p2)
+p0 AS (SELECT sum(fails) AS f, sum(n) AS n, sum(fails) / sum(n) AS mean, count(*)::DOUBLE AS hosts FROM h),
+p1 AS (SELECT f, n, mean, (SELECT sum(h.n * (h.fails / h.n - p0.mean) ** 2) FROM h, p0) / n - mean * (1 - mean) * hosts / n AS real FROM p0),
+p2 AS (SELECT f, n, mean, CASE WHEN real > 0 THEN least(greatest(mean * (1 - mean) / real - 1, 1.0), n) ELSE greatest(n, 1.0) END AS weight FROM p1),
+v0 AS (SELECT source, h.n, fails, fails * p2.n > p2.f * h.n AS above, (fails + mean * weight) / (h.n + weight) AS rate, weight, mean FROM h, p2),
+v AS (SELECT source, above, rate - 2.0 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 2.0 * mean AS blocked FROM v0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR rate >= 0.5 OR (soft_failed AND rate >= 0.01)) AS kept
+  NOT (base_failed OR blocked OR (soft_failed AND above AND NOT blocked)) AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
