@@ -1,66 +1,98 @@
 """Main text of web pages by text-to-tag ratios.
 
 The page streams through the standard library's parser. Blocks (runs of text between block-level
-tags) are the lines; a line's ratio is its characters over its tags. Ratios are smoothed with a
-Gaussian and lines above a threshold form clusters. The threshold is the smoothed ratios' standard
-deviation. Each container (article, main, sections and the like) is credited with the clustered
-characters below it; the smallest one that holds them all is the content region, so that what is
-outside is marked as something else or below the threshold. Lines that are mostly links are credited
-to none. A page that names its article, or main part, has its region named: there the tag decides,
-and the clusters only tell which of several articles is the main one; its siblings belong to it.
-The region's own blocks are the result, short ones included; what its tags, roles and class names
-mark as menu, header, footer, sidebar, notice, advert, form or comments is left out wherever it stands.
+tags) are the lines; a line's ratio is its characters outside links over its tags. Ratios are
+smoothed with a Gaussian, and lines whose smoothed ratio reaches the threshold (the smoothed
+ratios' standard deviation) form the clusters. A line is *strong* if it is in a cluster and has
+as many characters of its own, so that a short line beside the text isn't taken for it. The smallest
+container with all strong lines is the content region, whatever it is called; but one of its parts
+that has nine tenths of the strong characters, beside nothing but parts of one line each, is the
+region in its place. All of its lines
+are the result, short ones included, but for parts without a strong line that are mostly links,
+and, where the text is spread over several parts of the region, parts before the first and after
+the last of them. A page's h1 right before the region belongs to it.
+
+Marks come first: what its tags and roles, or class names and ids, mark as menu, header, footer,
+sidebar, notice, advert, form or comments counts as no text. Class names count as whole words, of
+which each part must be such a word; they mark no ``article``, ``main`` or ``body``, nothing that is
+called content as well, and nothing at all on a page that would be left without text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SKIP = frozenset("script style noscript template nav footer aside form button select option textarea input iframe object svg canvas head title dialog menu".split())
-_BLOCK = frozenset("address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold no text of the page's.
+_QUIET = frozenset("script style noscript template button select option textarea input iframe object svg canvas head title".split())
+#: Elements beside the text.
+_BESIDE = frozenset("nav footer aside form dialog menu".split())
+_BLOCK = _BESIDE | frozenset("address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _REGION = frozenset("article main section div td body html".split())
+_UNMARKED = frozenset("article main body html".split())
 _CLOSES_P = _BLOCK - {"html", "body"}
 _SAME = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|navbar|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|site-header|page-header|header|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|share|sharing|social|comments?|comment-list|replies|reply|disqus|related|recommended|pagination|pager|login|search|skip-link|toolbar)(?:$|[\s_-])",
-    re.I,
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial adsense sponsor sponsored sponsors promo promos promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets footer masthead header cookie cookies consent notice notices popup modal newsletter subscribe subscription signup share sharing social comment comments replies reply respond disqus related recommended pagination pager login search skip toolbar".split()
 )
+_PLACE = frozenset("site page global main primary secondary top bottom left right side box block list item items wrap wrapper container section area bar inner outer link links button buttons panel slot unit form thread content".split())
+_CONTENT = frozenset("article post entry story content body text main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
+_SPACE = re.compile(r"[ \t\n\r\f\v\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]+")
+_HARD, _SOFT = 1, 2
+#: Of the strong characters, the share of a part beside which lines that stand alone aren't text.
+MOST = 0.9
+
+
+def noisy(names: str) -> bool:
+    """Whether class names or ids mark an element as something beside the text."""
+    words = names.lower().split()
+    if any(w in _CONTENT for w in words):
+        return False
+    for word in words:
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        if any(x in _NOISE for x in parts) and all(x in _NOISE or x in _PLACE or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+@dataclass
+class Line:
+    text: str
+    node: int
+    tags: int
+    linked: int  # characters in links
+    title: bool  # an h1
 
 
 class _Page(HTMLParser):
-    """Blocks of a page with their containers and numbers of tags."""
+    """Lines of a page, and the containers and marked elements that they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, its container, whether it is skipped
-        self.parent: list[int] = [-1]
-        self.kind: list[str] = [""]
-        self.blocks: list[tuple[str, int, int, bool]] = []  # text, container, tags, skipped
+        self.open: list[tuple[str, int, bool]] = []  # tag, its node, whether its text is none
+        self.count: Counter[str] = Counter()  # open elements of a tag
+        self.parent, self.mark = [-1], [0]  # of nodes; a parent comes before its children
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.links = 0  # open links
-        self.linked = 0  # characters in links since the last block
-        self.listed: list[bool] = []  # whether a block is mostly links
-        self.quiet = 0  # open elements whose text is no text at all
+        self.tags = self.linked = 0  # since the last line
 
     def _now(self) -> tuple[int, bool]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (0, False)
+        return self.open[-1][1:] if self.open else (0, False)
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip(" ")
         if text:
-            self.blocks.append((text, *self._now()[:1], self.tags, self._now()[1]))
-            self.listed.append(self.linked * 2 > len(text))
+            self.lines.append(Line(text, self._now()[0], self.tags, self.linked, self.count["h1"] > 0))
             self.tags = 0
         self.text = []
         self.linked = 0
@@ -79,19 +111,24 @@ class _Page(HTMLParser):
             self.text.append("\n")
         if tag in _VOID:
             return
-        at, skip = self._now()
+        node, quiet = self._now()
         a = dict(attrs)
-        if not skip and tag not in ("html", "body"):
-            named = f"{a.get('class') or ''} {a.get('id') or ''}"
-            skip = tag in _SKIP or (a.get("role") or "").lower() in _ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or bool(_NOISE.search(named))
-            # a header is the page's unless it opens an article
-            skip |= tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open)
-        if tag in _REGION:
-            self.parent.append(at)
-            self.kind.append(tag)
-            at = len(self.parent) - 1
-        self.links += tag == "a"
-        self.open.append((tag, at, skip))
+        mark = 0
+        if tag not in ("html", "body"):
+            if tag in _BESIDE or (a.get("role") or "").lower() in _ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
+                mark = _HARD
+            elif tag == "header" and not (self.count["article"] or self.count["main"]):
+                mark = _HARD  # a header is the page's unless it opens an article
+            elif tag not in _UNMARKED and noisy(f"{a.get('class') or ''} {a.get('id') or ''}"):
+                mark = _SOFT
+        if tag in _QUIET or mark and tag not in _BLOCK:
+            quiet = True
+        elif tag in _REGION or mark:
+            self.parent.append(node)
+            self.mark.append(mark)
+            node = len(self.parent) - 1
+        self.count[tag] += 1
+        self.open.append((tag, node, quiet))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -103,26 +140,24 @@ class _Page(HTMLParser):
         self._close(tag, ())
 
     def _close(self, tag: str, bounds: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._flush_if_changes(k)
-                self.links -= sum(t == "a" for t, _, _ in self.open[k:])
-                del self.open[k:]
-                return
+        if not self.count[tag]:
+            return
+        k = len(self.open) - 1
+        while self.open[k][0] != tag:
             if self.open[k][0] in bounds:
                 return
-
-    def _flush_if_changes(self, k: int) -> None:
-        # text of a skipped or contained part doesn't run into what follows
-        before = (self.open[k - 1][1], self.open[k - 1][2]) if k else (0, False)
-        if self._now() != before:
-            self._flush()
+            k -= 1
+        if self._now()[0] != (self.open[k - 1][1] if k else 0):
+            self._flush()  # text of one container doesn't run into what follows
+        for t, _, _ in self.open[k:]:
+            self.count[t] -= 1
+        del self.open[k:]
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][2] and self.open[-1][0] in ("script", "style"):
+        if self._now()[1]:
             return
         self.text.append(data)
-        if self.links:
+        if self.count["a"]:
             self.linked += len(_SPACE.sub(" ", data).strip(" "))
 
     def finish(self) -> None:
@@ -142,6 +177,15 @@ def smooth(x: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def strong_lines(lines: list[Line]) -> list[bool]:
+    """Whether each line is in a cluster of smoothed ratios, and long enough itself."""
+    own = [len(x.text) - min(x.linked, len(x.text)) for x in lines]
+    ratios = smooth([n / max(1, x.tags) for n, x in zip(own, lines, strict=True)])
+    mean = sum(ratios) / max(1, len(ratios))
+    limit = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) if len(ratios) > 2 else 0.0
+    return [max(r, n) >= limit and n >= limit and n > 0 and x.linked * 2 <= len(x.text) for r, n, x in zip(ratios, own, lines, strict=True)]
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, joined by two line feeds; empty if there is none."""
     if not html:
@@ -152,44 +196,65 @@ def extract(html: str | None) -> str:
     page = _Page()
     page.feed(html)
     page.finish()
-    if not page.blocks:
+    n, parent = len(page.parent), page.parent
+    hard, soft = [False] * n, [False] * n
+    for k in range(n):
+        hard[k] = page.mark[k] == _HARD or (k > 0 and hard[parent[k]])
+        soft[k] = page.mark[k] == _SOFT or (k > 0 and soft[parent[k]])
+    lines = [x for x in page.lines if not hard[x.node] and not soft[x.node]] or [x for x in page.lines if not hard[x.node]]
+    if not lines:
         return ""
-    ratios = smooth([0.0 if skip else len(text) / max(1, tags) for text, _, tags, skip in page.blocks])
-    mean = sum(ratios) / len(ratios)
-    limit = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) if len(ratios) > 2 else 0.0
-    # characters below each container: of clustered lines, and of all lines that aren't marked as something else
-    n = len(page.parent)
-    rich, total = [0] * n, [0] * n
-    for (text, at, _, skip), r, links in zip(page.blocks, ratios, page.listed, strict=True):
-        if not skip:
-            total[at] += len(text)
-            rich[at] += len(text) * (max(r, len(text)) >= limit and not links)  # a long line is text whatever tags stand before it
+    strong = strong_lines(lines)
+    # of each container: strong lines, characters and linked characters below it
+    rich, weight, count, size, linked = ([0] * n for _ in range(5))
+    children: list[list[int]] = [[] for _ in range(n)]
+    for x, s in zip(lines, strong, strict=True):
+        rich[x.node] += s
+        weight[x.node] += s * len(x.text)
+        count[x.node] += 1
+        size[x.node] += len(x.text)
+        linked[x.node] += x.linked
+    direct = rich[:]
     for k in range(n - 1, 0, -1):
-        rich[page.parent[k]] += rich[k]
-        total[page.parent[k]] += total[k]
-    named = [k for k in range(n) if page.kind[k] == "article" and total[k]] or [k for k in range(n) if page.kind[k] == "main" and total[k]]
-    if named:
-        best = max(named, key=lambda k: (rich[k], total[k], -k))
-
-        def around(k: int) -> int:
-            # the container of an article, past wrappers that hold nothing else
-            while k > 0 and total[page.parent[k]] == total[k]:
-                k = page.parent[k]
-            return page.parent[k]
-
-        chosen = {k for k in named if around(k) == around(best)} | {best}
-    else:
-        best = 0
-        while rich[best]:
-            below = [k for k in range(best + 1, n) if page.parent[k] == best and rich[k] == rich[best]]
-            if not below:
-                break
-            best = below[0]
-        chosen = {best}
-    inside = [False] * n
-    for k in range(n):
-        inside[k] = k in chosen or (k > 0 and inside[page.parent[k]])
-    return "\n\n".join(text for text, at, _, skip in page.blocks if inside[at] and not skip)
+        children[parent[k]].append(k)
+        rich[parent[k]] += rich[k]
+        weight[parent[k]] += weight[k]
+        count[parent[k]] += count[k]
+        size[parent[k]] += size[k]
+        linked[parent[k]] += linked[k]
+    if not rich[0]:
+        return "\n\n".join(x.text for x in lines)
+    region = max(k for k in range(n) if rich[k] == rich[0])  # these lie below each other, and the last is the smallest
+    while not direct[region]:
+        below = [k for k in children[region] if rich[k]]
+        main = max(below, key=weight.__getitem__)
+        if weight[main] < MOST * weight[region] or any(count[k] > 1 for k in below if k != main):
+            break
+        region = main
+        while not direct[region] and sum(rich[k] > 0 for k in children[region]) == 1:
+            region = next(k for k in children[region] if rich[k])
+    # the part of the region that each container belongs to: a child of the region, or the region itself
+    part = [-1] * n
+    part[region] = region
+    for k in range(region + 1, n):
+        part[k] = k if parent[k] == region else part[parent[k]]
+    inside = [i for i, x in enumerate(lines) if part[x.node] >= 0]
+    first, last = (f(i for i in inside if strong[i]) for f in (min, max))
+    kept = []
+    for i in inside:
+        x = lines[i]
+        k = part[x.node]
+        if k != region and not rich[k]:
+            keep = linked[k] * 2 <= size[k] and (direct[region] > 0 or first < i < last)
+        else:
+            keep = x.linked * 2 <= len(x.text) or first < i < last
+        if keep:
+            kept.append(i)
+    if kept[0] == inside[0]:
+        above = next((i for i in range(inside[0] - 1, max(-1, inside[0] - 3), -1) if lines[i].title), None)
+        if above is not None and not any(lines[i].title for i in kept):
+            kept.insert(0, above)
+    return "\n\n".join(lines[i].text for i in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +268,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns with text and n_chars (code points).
 
-    Null or empty pages, and pages without content, give an empty text. Rows that repeat give rows
-    that repeat; an empty table gives no rows; a column named text or n_chars isn't looked at.
+    Null or empty pages, and pages without content, give an empty text. Very long pages are parsed
+    whole, in time that grows with their length. Rows that repeat give rows that repeat; an empty
+    table gives no rows; a column named text or n_chars isn't looked at.
     """
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(html).alias("html"))
     out = rows.mapInArrow(_extract, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long")

@@ -1,3 +1,8 @@
+import math
+import random
+import time
+
+from lodestone.llm import html
 from lodestone.llm.html import extract, main_text, smooth
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -55,3 +60,56 @@ def test_edges(spark):
     got = main_text(df).collect()
     assert sorted(r.n_chars for r in got) == [0, len(WANT), len(WANT)]
     assert main_text(df.limit(0)).count() == 0
+
+
+def sentence(k, words=18):
+    return " ".join(f"word{k}n{i}" for i in range(words)) + "."
+
+
+def plain_page(article):
+    """A page of div, p and a alone, without classes."""
+    menu = "".join(f"<div><a href='/{i}'>Menu entry {i}</a></div>" for i in range(8))
+    facts = "".join(f"<div>Fact {i}: {i}</div>" for i in range(12))
+    return f"<body><div>{menu}</div><div>{facts}</div><div>{''.join(f'<p>{x}</p>' for x in article)}</div><div><p>Contact</p><p>Imprint</p><p>Terms</p></div></body>"
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    article = ["Title of it", *(sentence(k, 20 + 7 * k) for k in range(5)), "Short.", sentence(9, 30), "End."]
+    assert extract(plain_page(article)).split("\n\n") == article
+    monkeypatch.setattr(html, "smooth", lambda x, sigma=1.0: [1.0] * len(x))
+    assert extract(plain_page(article)).split("\n\n") != article
+
+
+def test_ratios_by_brute_force():
+    r = random.Random(1)
+    for n in (1, 2, 3, 4, 9, 30):
+        x = [r.random() * 50 for _ in range(n)]
+        w = [[math.exp(-((i - k) ** 2) / 2) * (abs(i - k) <= 3) for k in range(n)] for i in range(n)]
+        want = [sum(a * b for a, b in zip(row, x)) / sum(row) for row in w]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(smooth(x), want))
+
+
+def test_two_articles_and_parts():
+    a, b = f"<p>{sentence(1)}</p>", f"<p>{sentence(2)}</p>"
+    for page in (f"<article>{a}</article><article>{b}</article>", f"<div>{a}</div><div>{b}</div>", f"<main><section>{a * 12}</section><section><p>x</p>{b}</section></main>"):
+        assert extract(page).endswith(sentence(2)) and extract(page).startswith(sentence(1))
+
+
+def test_class_names_on_the_text():
+    body = "".join(f"<p>{sentence(k)}</p>" for k in range(3))
+    want = "\n\n".join(sentence(k) for k in range(3))
+    for name in ("post share-price", "entry notice", "story header", "navy-news", "article-modal", "search-and-rescue", "share", "header"):
+        assert extract(f"<article class='{name}'>{body}</article>") == want, name
+        assert extract(f"<body><div class='{name}'>{body}</div></body>") == want, name
+        if name not in ("share", "header"):
+            assert extract(f"<article><p>{sentence(8)}</p><div class='{name}'>{body}</div></article>") == f"{sentence(8)}\n\n{want}", name
+    for name in ("ad", "site-footer", "cookie-notice", "big social-links", "comment-list", "ad-top-2"):
+        assert extract(f"<article>{body}<div class='{name}'>{body}</div></article>") == want, name
+    assert extract(f"<article><p>One <span class='ad'>advert</span>two.</p>{body}</article>") == f"One two.\n\n{want}"
+
+
+def test_depth_and_length_take_linear_time():
+    for page in ("<div>" * 60_000 + sentence(1) + "</div>" * 60_000, "<p>" + "<b>" * 20_000 + sentence(1) + "</i>" * 20_000, f"<p>{sentence(1)}</p>" * 20_000):
+        start = time.process_time()
+        assert extract(page).startswith(sentence(1))
+        assert time.process_time() - start < 8
