@@ -3,9 +3,9 @@
 A block is one copy of one document. ``plan`` finds, for each source, its target in words, how
 many whole passes over it that takes, and where in the source's permutation (documents by a
 keyed hash) the last, partial pass ends. The quota of blocks of every source is then halved
-again and again among the output shards: each half gets as many blocks as the other (within
+again and again among the output shards: each part gets blocks in proportion to its shards (within
 one) and draws its count of each source from the hypergeometric law of what the node holds, so
-quotas are exact in every node. A shard's blocks are the next unused stretch of each source's
+quotas are exact in every node, for any number of shards. A shard's blocks are the next unused stretch of each source's
 permutation, and are ordered by another hash within the shard.
 
 Everything is DataFrame functions. Text is read where it lies and never shuffled: what decides
@@ -111,15 +111,18 @@ def _bounds(units: DataFrame, goal: DataFrame, n: int, shards: int, seed: int) -
     by = drawn.groupBy("_key", "pass", "b").agg(F.count("*").alias("n"))
     by = cut(by.withColumn("base", F.sum("n").over(Window.partitionBy("_key").orderBy("pass", "b")) - F.col("n")))
     quota = by.groupBy("_key").agg(F.sum("n").alias("q"))
-    leaves = quota.agg(F.array_sort(F.collect_list(F.struct("_key", "q"))).alias("held")).withColumn("node", F.lit(1).cast("long"))
+    leaves = quota.agg(F.array_sort(F.collect_list(F.struct("_key", "q"))).alias("held")).select("held", F.lit(0).alias("node"), F.lit(max(1, shards)).alias("shards"))
     for _ in range(max(0, math.ceil(math.log2(max(1, shards))))):
-        leaves = leaves.withColumn("left", F.expr(_SPLIT.format(seed=int(seed))))
+        # a node of s shards gives its first half, s div 2 of them, that share of its blocks
+        leaves = leaves.withColumn("left", F.when(F.col("shards") > 1, F.expr(_SPLIT.format(seed=int(seed)))).otherwise(F.col("held")))
         right = F.transform("held", lambda x, i: F.struct(x["_key"].alias("_key"), (x["q"] - F.element_at(F.col("left"), (i + 1).cast("int"))["q"]).alias("q")))
-        leaves = leaves.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("held")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("held")))).alias("x")).select("x.*")
+        half = F.expr("shards div 2").cast("int")
+        first = F.struct(F.col("node"), F.greatest(half, F.lit(1)).alias("shards"), F.col("left").alias("held"))
+        second = F.struct((F.col("node") + half).alias("node"), (F.col("shards") - half).alias("shards"), right.alias("held"))
+        leaves = leaves.select(F.explode(F.when(F.col("shards") > 1, F.array(first, second)).otherwise(F.array(first))).alias("x")).select("x.*")
         leaves = cut(leaves)
-    stretch = leaves.select("node", F.explode("held").alias("x")).select("node", "x.*")
-    stretch = stretch.withColumn("at", F.sum("q").over(Window.partitionBy("_key").orderBy("node")) - F.col("q")).where("q > 0")
-    stretch = stretch.withColumn("shard", F.col("node") - F.lit(1 << max(0, math.ceil(math.log2(max(1, shards))))))
+    stretch = leaves.select(F.col("node").alias("shard"), F.explode("held").alias("x")).select("shard", "x.*")
+    stretch = stretch.withColumn("at", F.sum("q").over(Window.partitionBy("_key").orderBy("shard")) - F.col("q")).where("q > 0")
     # the block with which each stretch begins: rank = blocks of earlier buckets + place in its own
     edge = cut(stretch.select("_key", "at", "shard"))
     hit = by.join(small(edge), "_key").where("at >= base and at < base + n").select("_key", "pass", "b", "base", "at", "shard")
@@ -130,21 +133,41 @@ def _bounds(units: DataFrame, goal: DataFrame, n: int, shards: int, seed: int) -
     return found.groupBy("_key").agg(F.sort_array(F.collect_list("x")).alias("bounds"))
 
 
-#: Halves a node: sources in order draw from what is left of the half; a hypergeometric draw at one
-#: half is symmetric, so it is its mean plus a normal deviate of its variance, rounded into its support.
-_SPLIT = """aggregate(
+#: Splits a node: sources in order draw from what is left of the first half's blocks. Of ``n`` blocks left, of which
+#: ``l`` are the half's, a source's ``q`` give a hypergeometric number ``d``. Where its deviation is at most 10, the
+#: draw inverts the law itself, summed from the mode outwards over all values up to 100 from it, which leaves less than
+#: 1e-20 of it out; elsewhere it is the mean plus a normal deviate, rounded into the support.
+_WIDE = 100
+_TERMS = """aggregate(sequence(1, {wide}), struct(1D as w, {start} as acc, {at} as k),
+      (t, i) -> struct(t.w * {ratio} as w, {step} as acc, t.k {sign} 1 as k), t -> t.acc)"""
+
+
+def _law() -> str:
+    up = "greatest(0D, cast((s.l - t.k) * cast(x.q - t.k as double) as double) / ((t.k + 1D) * greatest(1, s.n - s.l - x.q + t.k + 1)))"
+    down = "greatest(0D, cast(t.k * cast(s.n - s.l - x.q + t.k as double) as double) / ((s.l - t.k + 1D) * (x.q - t.k + 1D)))"
+    terms = lambda ratio, sign, start, step: _TERMS.format(wide=_WIDE, at="m", ratio=ratio, sign=sign, start=start, step=step)
+    above, below = (terms(r, g, "0D", f"t.acc + t.w * {r}") for r, g in ((up, "+"), (down, "-")))
+    # how many terms above (below) the mode the point passes
+    climb = terms(up, "+", "struct(p - 1D as left, 0L as d)", f"struct(t.acc.left - t.w * {up} as left, t.acc.d + if(t.acc.left >= 0 and t.w * {up} > 0, 1, 0) as d)") + ".d"
+    fall = terms(down, "-", "struct(p - 1D - a as left, 0L as d)", f"struct(t.acc.left - t.w * {down} as left, t.acc.d + if(t.acc.left >= 0 and t.w * {down} > 0, 1, 0) as d)") + ".d"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    pick = f"case when p < 1D then m when p < 1D + a then m + {climb} else m - {fall} end"
+    exact = let("m", "cast(floor((s.l + 1D) * ((x.q + 1D) / (s.n + 2D))) as bigint)", let("a", above, let("b", below, let("p", "x.u * (1D + a + b)", pick))))
+    mean, var = "if(s.n > 0, s.l * (x.q / s.n), 0D)", "if(s.n > 1, greatest(0D, s.l * (x.q / s.n) * ((s.n - x.q) / s.n) * ((s.n - s.l) / (s.n - 1))), 0D)"
+    drawn = f"if({var} <= 100D, {exact}, cast(round({mean} + x.z * sqrt({var})) as bigint))"
+    return f"greatest(0L, s.l - (s.n - x.q), least(s.l, x.q, {drawn}))"
+
+
+_SPLIT = f"""aggregate(
   transform(held, x -> struct(x._key as _key, x.q as q,
-    sqrt(-2 * ln((pmod(xxhash64({seed}, 1, node, x._key), 9007199254740992) + 0.5) / 9007199254740992))
-    * cos(2 * pi() * pmod(xxhash64({seed}, 2, node, x._key), 9007199254740992) / 9007199254740992) as z)),
+    (pmod(xxhash64({{seed}}, 1, node, shards, x._key), 9007199254740992) + 0.5D) / 9007199254740992 as u,
+    sqrt(-2 * ln((pmod(xxhash64({{seed}}, 1, node, shards, x._key), 9007199254740992) + 0.5D) / 9007199254740992))
+    * cos(2 * pi() * pmod(xxhash64({{seed}}, 2, node, shards, x._key), 9007199254740992) / 9007199254740992) as z)),
   struct(aggregate(held, 0L, (s, x) -> s + x.q) as n,
-         aggregate(held, 0L, (s, x) -> s + x.q) div 2 as l,
+         aggregate(held, 0L, (s, x) -> s + x.q) * (shards div 2) div shards as l,
          cast(array() as array<struct<_key: string, q: bigint>>) as done),
-  (s, x) -> named_struct('n', s.n - x.q,
-    'l', s.l - greatest(0L, s.l - (s.n - x.q), least(s.l, x.q, cast(round(
-           if(s.n > 0, s.l * (x.q / s.n), 0) + x.z * if(s.n > 1, sqrt(greatest(0D, s.l * (x.q / s.n) * ((s.n - x.q) / s.n) * ((s.n - s.l) / (s.n - 1)))), 0D)) as bigint))),
-    'done', concat(s.done, array(named_struct('_key', x._key, 'q',
-         greatest(0L, s.l - (s.n - x.q), least(s.l, x.q, cast(round(
-           if(s.n > 0, s.l * (x.q / s.n), 0) + x.z * if(s.n > 1, sqrt(greatest(0D, s.l * (x.q / s.n) * ((s.n - x.q) / s.n) * ((s.n - s.l) / (s.n - 1)))), 0D)) as bigint))))))),
+  (s, x) -> element_at(transform(array({_law()}), d -> named_struct(
+    'n', s.n - x.q, 'l', s.l - d, 'done', concat(s.done, array(named_struct('_key', x._key, 'q', d))))), 1),
   s -> s.done)"""
 
 

@@ -8,16 +8,18 @@ no lower); sums over all blocks tell in which bin the k-th score lies, which is
 until a bin is one score wide. The last pass emits the pairs above that score and, of those at it,
 each block's k smallest ids, and a ranking breaks the ties. No round depends on how scores spread.
 
-Query blocks are broadcast if their counted size is at most ``BROADCAST_BYTES``; else blocks are
-dealt out by query block and a piece of the candidate blocks.
+Queries are taken in chunks of ``CHUNK_BYTES``, a chunk being broadcast: candidates are read once
+a round and chunk and never shuffled. What is shuffled are counts and the pairs of the last pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +28,7 @@ from .common import cut
 
 BINS = 256
 QUERY_BLOCK, BLOCK = 512, 2048
-BROADCAST_BYTES = 32 << 20
+CHUNK_BYTES = 32 << 20
 _EXACT = float(1 << 53)
 _LAST = (1 << 63) - 1
 
@@ -41,16 +43,16 @@ def _pack(rows: int, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, lengths, components
         count, k = 0, TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
             nonlocal k
-            ids = np.concatenate([x for x, _ in held])
-            vectors = [v for _, vs in held for v in vs]
-            m = np.zeros((len(ids), max((len(v) for v in vectors), default=0)))
-            for i, v in enumerate(vectors):
-                m[i, : len(v)] = np.floor(np.asarray(v, np.float64) * scale) + 0.0
+            ids, sizes, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            flat = np.floor(flat * scale) + 0.0
+            m = np.zeros((len(ids), int(sizes.max(initial=0))))
+            at = np.cumsum(sizes) - sizes
+            m[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(at, sizes)] = flat
             norm = float((m * m).sum(axis=1).max(initial=0.0))
             k += 1
             return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(ids)], pa.int32()), pa.array([norm]), pa.array([ids.astype("<i8").tobytes()]), pa.array([m.tobytes()])], names=["block", "rows", "norm", "ids", "matrix"])
@@ -58,7 +60,8 @@ def _pack(rows: int, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                held.append((part.column("id").to_numpy(zero_copy_only=False), [x.as_py() for x in part.column("vector")]))
+                vectors = part.column("vector")
+                held.append((part.column("id").to_numpy(zero_copy_only=False), pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
                 count += part.num_rows
                 if count >= rows:
                     yield block()
@@ -126,7 +129,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     Components count as ``floor(scale * x)``; scores are exact whole numbers (held within 64 bits).
     Ties go to the smaller id. Rows with a null id, a null vector, or a component that is null or
     not finite take no part, on either side; of vectors that differ in length the shorter counts as
-    filled up with zeros. A row is no candidate for a query of its id. Fewer candidates than k: all
+    filled up with zeros. Very long vectors make blocks as wide as they are. Columns of other names are ignored. A row is no candidate for a query of its id. Fewer candidates than k: all
     of them; none, or an empty table: no rows. A query row that repeats is answered each time.
     """
     schema = "block long, rows int, norm double, ids binary, matrix binary"
@@ -136,11 +139,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         return cut(df.where(F.col("id").isNotNull() & usable(F.col("vector"))).mapInArrow(_pack(rows, scale), schema))
 
     c, q = packed(vectors, BLOCK), packed(queries, QUERY_BLOCK)
-    q = cut(q.withColumn("q", (F.row_number().over(Window.orderBy("block")) - 1).cast("int")).drop("block"))  # a row a block
-    sizes = q.agg(F.count("*"), F.sum(F.length("matrix")), F.max("norm")).first()
-    blocks, weight, norm = sizes[0], sizes[1] or 0, sizes[2] or 0.0
-    norm = float(np.sqrt(norm) * np.sqrt(c.agg(F.max("norm")).first()[0] or 0.0))
+    by_block = Window.orderBy("block")  # a row a block
+    sizes = q.select("block", (F.row_number().over(by_block) - 1).cast("int").alias("q"), F.floor((F.sum(F.length("matrix")).over(by_block) - 1) / F.lit(CHUNK_BYTES)).cast("int").alias("chunk"))
+    q = cut(q.join(sizes, "block").drop("block"))
+    chunks = q.groupBy("chunk").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).orderBy("chunk").collect()  # a row for CHUNK_BYTES of queries
+    norm = float(np.sqrt(q.agg(F.max("norm")).first()[0] or 0.0) * np.sqrt(c.agg(F.max("norm")).first()[0] or 0.0))
     bound = min(int(norm * (1 + 1e-9)) + 1, 1 << 61)
+    found = [_answered(c, q.where(F.col("chunk") == x["chunk"]), x["lo"], x["hi"], bound, k) for x in chunks] or [_answered(c, q, 0, 0, bound, k)]
+    out = found[0] if len(found) == 1 else reduce(DataFrame.unionByName, map(cut, found))
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+def _answered(c: DataFrame, q: DataFrame, first: int, last: int, bound: int, k: int) -> DataFrame:
+    """The k best of the candidates for the queries of one chunk, blocks first to last, which every task gets whole."""
     width = -(-(2 * bound + 1) // BINS)
     state = q.select("q", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")).select("q", "i", F.lit(-bound).cast("long").alias("lo"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need"), F.lit(width * BINS).cast("long").alias("span"))
     state = cut(state)
@@ -148,13 +159,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     def tiles() -> DataFrame:
         held = state.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "width", "need", "span"))).alias("state"))
         asked = q.join(held, "q").select("q", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), "state")
-        each = c.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
-        if weight <= BROADCAST_BYTES:
-            joined = each.join(F.broadcast(asked), "q")
-        else:
-            pieces = 64
-            joined = each.withColumn("piece", F.pmod(F.xxhash64("block"), F.lit(pieces)).cast("int")).join(asked.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))), ["q", "piece"])
-        return joined.select("q", "qids", "qmatrix", "state", "ids", "matrix")
+        # each candidate block meets each query block of the chunk; candidates stay where they are
+        each = c.withColumn("q", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        return each.join(F.broadcast(asked), "q").select("q", "qids", "qmatrix", "state", "ids", "matrix")
 
     while width > 0:
         counted = tiles().mapInArrow(_histogram, "q int, i int, bin int, n long").groupBy("q", "i", "bin").agg(F.sum("n").alias("n"))
@@ -176,4 +183,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         width = finer
     found = tiles().mapInArrow(_emit(k), "q int, i int, query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked

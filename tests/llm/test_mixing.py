@@ -1,9 +1,10 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from lodestone.llm.mixing import mixed, taken
+from lodestone.llm.mixing import _SPLIT, mixed, taken
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -69,3 +70,41 @@ def test_edges(spark):
     one = taken(spark.createDataFrame([(1, None, None), (1, None, None), (None, "a b", "x")], "doc_id long, text string, source string")).collect()
     assert len(one) == 3 and sum(r.taken for r in one) in (2, 4)
     assert mixed(spark.createDataFrame([(1, "", "s")], "doc_id long, text string, source string")).count() >= 0
+
+
+def test_split_follows_the_hypergeometric_law(spark):
+    """Draws of many nodes against the exact law, by chi-squared; quotas of a node always add up."""
+    draws = 6000
+    for held, shards in (((3, 5), 2), ((40, 60), 2), ((2, 1, 9), 3), ((7, 50_000_000), 4), ((1, 1, 1, 1), 2), ((300, 200), 5)):
+        n, left = sum(held), sum(held) * (shards // 2) // shards
+        df = spark.range(draws).selectExpr("cast(id as int) as node", f"{shards} as shards", "array(" + ",".join(f"named_struct('_key', 'k{i}', 'q', {q}L)" for i, q in enumerate(held)) + ") as held")
+        got = [r[0] for r in df.select(F.expr(_SPLIT.format(seed=3))["q"]).collect()]
+        assert all(sum(x) == left and all(0 <= a <= b for a, b in zip(x, held)) for x in got)
+        q, count = held[0], Counter(x[0] for x in got)
+        logs = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        law = {k: draws * math.exp(logs(q, k) + logs(n - q, left - k) - logs(n, left)) for k in range(max(0, left - n + q), min(q, left) + 1)}
+        some = {k: e for k, e in law.items() if e >= 8}
+        chi = sum((count[k] - e) ** 2 / e for k, e in some.items())
+        assert chi < len(some) + 5 * math.sqrt(2 * len(some)) + 5, (held, chi, len(some))
+
+
+def test_any_number_of_shards_and_disjoint_blocks(spark):
+    data = rows(3, 700)
+    df = spark.createDataFrame([(i, t, s) for i, t, s in data if t and t.strip()], "doc_id long, text string, source string")
+    for shards in (1, 6):
+        m = mixed(df, shards=shards).select("doc_id", "source", "mix_shard", "mix_place").collect()
+        size = Counter(r.mix_shard for r in m)
+        assert sorted(size) == list(range(shards)) and max(size.values()) - min(size.values()) <= 3
+        # no block is in two shards: a document's copies are different passes, which have different places
+        assert len({(r.doc_id, r.mix_place) for r in m}) == len(m)
+        assert len(m) == sum(r.taken // r["size"] for r in taken(df, shards=shards).collect() if r["size"])
+        by = Counter((r.source, r.mix_shard) for r in m)
+        whole = Counter(r.source for r in m)
+        assert all(abs(by[s, k] - whole[s] / shards) < 6 * math.sqrt(whole[s]) + 3 for s in whole for k in range(shards))
+
+
+def test_repeats_and_very_long_texts(spark):
+    long = "w " * 1_000_000
+    got = taken(spark.createDataFrame([(1, long, "a"), (2, "x", "a"), (2, "x", "a"), (3, "x y", "b")], "doc_id long, text string, source string").selectExpr("*", "0 as target", "1 as _key")).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == [(1, 1_000_000), (2, 1), (2, 1), (3, 2)]
+    assert len({r.taken for r in got if r.doc_id == 2}) == 1

@@ -24,9 +24,10 @@ def rows(n=400, seed=0):
     return out + [(2000, None), (2005, [1.0, None] + [0.0] * 6), (2010, [float("nan")] * 8), (2015, [float("inf")] * 8), (None, hot), (2020, []), (2025, [1.0])]
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 0])
+@pytest.mark.parametrize("limit", [32 << 20, 1000])
 def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", limit)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16 if limit == 1000 else 512)
     data = rows()
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("*", "'x' as rank", "0 as score").repartition(5)
     got = topk.top_k(df, df.where("vec_id % 5 = 0"), 20, scale=64.0)
