@@ -347,7 +347,8 @@ def _links(scratch: Scratch, sets: DataFrame) -> DataFrame | None:
         chosen = chosen.select("key", F.col("c1").alias("a"), F.col("comp").alias("of"), F.col("n").alias("m"), F.col("u").alias("v"))
         chosen = scratch.keep(chosen.join(marks.withColumnsRenamed({"c1": "a"} | {f"s{j}": f"t{j}" for j in range(SKETCH)}), "a"))
         near = "comp <> of and 100 * least(n, m) >= 80 * greatest(n, m) and 9 * (u + v) <= n + m"
-        pairs = todo.join(chosen, "key").where(near).join(marks, "c1").where(f"9 * ({apart}) <= n + m")
+        # both tests are part of the join, which thus gives only pairs to verify
+        pairs = todo.join(marks, "c1").join(chosen, "key").where(f"{near} and 9 * ({apart}) <= n + m")
         pairs = pairs.select(F.least("a", "c1").alias("a"), F.greatest("a", "c1").alias("b")).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         both = pairs.join(lookup.withColumnsRenamed({"c1": "b", "members": "q"}), "b").join(lookup.withColumnsRenamed({"c1": "a", "members": "p"}), "a")
