@@ -224,23 +224,25 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
 
 def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
     """What ``_settle`` finds, for groups of any size: (did, th, pos, l, r); a null ``did`` marks settled contexts that stay as partners."""
-    rows = contexts.select("did", "th", "pos", "key", "c", "left", "right", F.lit(0).alias("lo"), F.lit(length - KMER).alias("hi"))
-    found: list[DataFrame] = []
-    while True:
-        part = lambda c, n: F.expr(f"substring({c}, 1, {n})")
+    part = lambda c, n: F.expr(f"substring({c}, 1, {n})")
+
+    def marked(rows: DataFrame) -> DataFrame:
         rows = rows.where(f"length(left) >= lo and length(right) >= {length} - hi")
-        rows = rows.withColumns(
-            {
-                "a": F.xxhash64("key", "lo", "hi", part("left", "lo"), part("right", f"{length} - hi")),
-                "b": F.xxhash64("key", "lo", "hi", part("left", "hi"), F.length(part("left", "hi")), part("right", f"{length} - lo")),
-            }
+        return scratch.keep(
+            rows.withColumns(
+                {
+                    "a": F.xxhash64("key", "lo", "hi", part("left", "lo"), part("right", f"{length} - hi")),
+                    "b": F.xxhash64("key", "lo", "hi", part("left", "hi"), F.length(part("left", "hi")), part("right", f"{length} - lo")),
+                }
+            )
         )
-        rows = scratch.keep(rows)
-        if rows.isEmpty():
-            break
-        same = scratch.keep(rows.groupBy("a", "b").agg(F.sum("c").alias("all"), F.count("*").alias("n"), F.count("pos").alias("open")))
+
+    rows = marked(contexts.select("did", "th", "pos", "key", "c", "left", "right", F.lit(0).alias("lo"), F.lit(length - KMER).alias("hi")))
+    found: list[DataFrame] = []
+    while not rows.isEmpty():
+        same = rows.groupBy("a", "b").agg(F.sum("c").alias("all"))
         near = same.groupBy("a").agg(F.sum("all").alias("near"), F.count_if(F.col("all") < 2).alias("open")).where("near > 1 and open > 0").select("a")
-        met = scratch.keep(rows.join(same.where("all > 1").select("b", "all"), "b", "left"))
+        met = rows.join(same.where("all > 1").select("b", "all"), "b", "left")
         done = met.where("all > 1 and pos is not null and c < 2").select("did", "th", "pos", F.least("hi", F.length("left")).alias("l"), F.least(F.lit(length) - F.col("lo"), F.length("right")).alias("r"))
         found.append(scratch.keep(done.where(F.col("l") + F.col("r") >= length)))
         # settled contexts stay as one, as partners of those still open
@@ -250,10 +252,11 @@ def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
         left = met.where("all is null").select(cols).unionByName(settled.select("*", *none).select(cols)).join(near, "a", "left_semi").where("lo < hi")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         left = left.withColumn("x", F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))))
-        after = scratch.keep(left.select("did", "th", "pos", "key", "c", "left", "right", "x.lo", "x.hi"))
-        scratch.drop(rows, same, met)
-        scratch.collect_garbage()
+        after = marked(left.select("did", "th", "pos", "key", "c", "left", "right", "x.lo", "x.hi"))
+        scratch.drop(rows)
         rows = after
+        if len(found) % 3 == 0:
+            scratch.collect_garbage()
     out = contexts.select("did", "th", "pos", F.lit(0).alias("l"), F.lit(0).alias("r")).limit(0)
     for part_ in found:
         out = out.unionByName(part_)
