@@ -102,3 +102,35 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md5(c: Column) -> Column:
     return F.md5(c.cast("binary"))
+
+
+_SURFACES = [s for _, _, s in DICTIONARY]
+#: Mentions with their offsets: a document's first occurrence of each dictionary surface that is one of its words.
+SPANS_SQL = (
+    MENTIONS_SQL
+    + ", spans AS (SELECT m.doc_id * 10 + list_position(["
+    + ", ".join(f"'{s}'" for s in _SURFACES)
+    + """], m.surface) - 1 AS id, m.doc_id, m.object_type, m.canonical, m.surface, (strpos(lower(d.text), m.surface) - 1)::BIGINT AS start_offset,
+  (strpos(lower(d.text), m.surface) - 1 + length(m.surface))::BIGINT AS end_offset, CASE WHEN (m.doc_id + length(m.surface)) % 4 = 0 THEN 'v1' ELSE 'v2' END AS version,
+  (m.doc_id + length(m.surface)) % 11 = 0 AS retracted FROM mentions m JOIN docs d ON d.id = m.doc_id)"""
+)
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc_id, object_type, canonical, surface, start_offset, end_offset, version, retracted), without a shuffle."""
+    d = docs(spark, sf_dir).select(F.col("id").alias("doc_id"), F.lower("text").alias("t"), F.array_distinct(F.split(F.lower("text"), "[^a-zß-ÿ]+")).alias("ws"))
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("object_type"), F.lit(b).alias("canonical"), F.lit(c).alias("surface")) for k, (a, b, c) in enumerate(DICTIONARY)])
+    hits = d.select("doc_id", "t", F.explode(F.filter(entries, lambda x: F.array_contains("ws", x["surface"]))).alias("x")).select("doc_id", "t", "x.*")
+    n = F.length("surface")
+    at = F.expr("locate(surface, t)").cast("long") - 1
+    return hits.select(
+        (F.col("doc_id") * 10 + F.col("k")).alias("id"),
+        "doc_id",
+        "object_type",
+        "canonical",
+        "surface",
+        at.alias("start_offset"),
+        (at + n).alias("end_offset"),
+        F.when((F.col("doc_id") + n) % 4 == 0, "v1").otherwise("v2").alias("version"),
+        ((F.col("doc_id") + n) % 11 == 0).alias("retracted"),
+    )
