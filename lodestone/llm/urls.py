@@ -2,10 +2,12 @@
 
 Rules are (host, path prefix) with a verdict; a rule fits its host and all subdomains, and the
 longest that fits decides. The URLs that rules decide are the labelled ones: trees are fitted on
-lexical features of a bounded sample of them (``TRAIN_ROWS``, those with the lowest hashes) and
-give the verdict of all others. Features: lengths, depth, shares of digits and of other marks,
-character entropy, numbers of parameters, and statistics of the host's last label over all URLs
-(its share, how many of its labelled URLs are blocked, shrunk). DataFrame functions only.
+lexical features of a bounded sample of them (for either verdict ``TRAIN_ROWS`` / 2 distinct URLs,
+those with the lowest hashes) and give the verdict of all others. Features: lengths, depth, shares
+of digits and of other marks, character entropy, numbers of parameters, and statistics of the
+host's last label: its share of hosts, and how many of its labelled hosts are blocked, shrunk
+towards the share of all labelled hosts and taken from the folds of hosts other than the URL's, so
+that no URL's own label, nor its site's, is among its features. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 TRAIN_ROWS = 20_000
+PRIOR = 2.0
+FOLDS = 4
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digits", "marks", "hyphens", "entropy", "parameters", "fragment", "secure", "longest_label", "suffix_length", "suffix_share", "suffix_blocked")
 
 
@@ -68,42 +72,69 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """(_suffix, suffix_length, suffix_share, suffix_blocked) over all URLs."""
-    by = rows.groupBy("_suffix").agg(F.count("*").alias("n"), F.count("rule").alias("known"), F.count_if(F.col("_ruled") == "block").alias("blocked"))
-    total = rows.agg(F.count("*").alias("all"))
-    return by.join(F.broadcast(total)).select("_suffix", F.length("_suffix").cast("double").alias("suffix_length"), (F.col("n") / F.col("all")).alias("suffix_share"), ((F.col("blocked") + 1) / (F.col("known") + 2)).alias("suffix_blocked"))
+def host_statistics(rows: DataFrame) -> DataFrame:
+    """(host, suffix_length, suffix_share, suffix_blocked): of the host's last label, over the hosts of other folds.
+
+    A host's label is the mean verdict of its labelled URLs. Hosts fall into ``FOLDS`` by hash, and all hosts of a
+    fold with one last label have the same statistics, which tell nothing of a host's own label. ``PRIOR`` hosts of
+    the overall rate are added.
+    """
+    hosts = rows.groupBy("host", "_suffix").agg(F.avg((F.col("_ruled") == "block").cast("double")).alias("own"))
+    hosts = cut(hosts.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))))
+    by = hosts.groupBy("_suffix", "fold").agg(F.count("*").alias("n"), F.count("own").alias("known"), F.coalesce(F.sum("own"), F.lit(0.0)).alias("blocked"))
+    whole = by.groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("known").alias("known_all"), F.sum("blocked").alias("blocked_all"))
+    others = by.drop("n").join(whole, "_suffix")
+    every = hosts.agg(F.count("*").alias("all"), F.coalesce(F.avg("own"), F.lit(0.5)).alias("rate")).first()
+    return hosts.join(others, ["_suffix", "fold"]).select(
+        "host",
+        F.length("_suffix").cast("double").alias("suffix_length"),
+        (F.col("n") / max(every["all"], 1)).alias("suffix_share"),
+        ((F.col("blocked_all") - F.col("blocked") + PRIOR * every["rate"]) / (F.col("known_all") - F.col("known") + PRIOR)).alias("suffix_blocked"),
+    )
+
+
+def sampled(rows: DataFrame, train_rows: int) -> DataFrame:
+    """Of either label, the distinct URLs of the lowest hashes, train_rows / 2 at most; weighted so that both labels weigh alike."""
+    labelled = rows.where(F.col("rule").isNotNull()).withColumn("label", (F.col("_ruled") == "block").cast("double"))
+    one = labelled.groupBy("_url").agg(F.first("label").alias("label"), *[F.first(f).alias(f) for f in FEATURES])
+    most = max(1, train_rows // 2)
+    each = [one.where(F.col("label") == v).orderBy(F.xxhash64("_url"), "_url").limit(most) for v in (0.0, 1.0)]
+    sample = cut(each[0].unionByName(each[1]).coalesce(4))
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, 1 / max(n.get(1.0, 0), 1)).otherwise(1 / max(n.get(0.0, 0), 1)) * sum(n.values())
+    return sample.withColumn("_weight", weight)
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The kept columns with host, path, rule, verdict (allow or block), risk (the trees', 0 to 1).
 
     Null URLs and ones without ``://`` have an empty host and path; no rule fits those. Where the
-    labelled URLs are of one verdict only, all others get it; where there are none, allow. Rows
-    that repeat are judged alike; an empty table gives no rows; clashing columns aren't looked at.
+    labelled URLs are of one verdict only, all others get it; where there are none, allow. Very
+    long URLs are measured whole. Rows that repeat are judged alike, and count once in training;
+    an empty table gives no rows; clashing columns aren't looked at.
     """
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(url).alias("_url"))
     host, path = split_url(F.col("_url"))
     rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     rule, ruled = match(F.col("host"), F.col("path"), rules)
     rows = lexical(rows.withColumn("rule", rule).withColumn("_ruled", ruled))
-    stats = cut(suffix_statistics(rows))
-    rows = rows.join(small(stats), "_suffix")
-    counts = {r["_ruled"]: r["n"] for r in rows.where("rule is not null").groupBy("_ruled").agg(F.count("*").alias("n")).collect()}
+    stats = cut(host_statistics(rows))
+    rows = rows.join(small(stats), "host")
     names = ["_row.*", "host", "path", "rule"]
-    if len(counts) < 2:
-        only = next(iter(counts), "allow")
+    sample = sampled(rows, train_rows)
+    verdicts = [r["label"] for r in sample.select("label").distinct().collect()]
+    if len(verdicts) < 2:
+        only = "block" if 1.0 in verdicts else "allow"
         return rows.select(*names, F.coalesce("_ruled", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("risk"))
-    share = min(1.0, train_rows / sum(counts.values()))
-    at = F.pmod(F.xxhash64("_url"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    labelled = rows.where(F.col("rule").isNotNull() & (at < share)).withColumn("label", (F.col("_ruled") == "block").cast("double"))
-    weight = F.when(F.col("label") == 1, 0.5 / counts["block"]).otherwise(0.5 / counts["allow"]) * sum(counts.values())
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-    sample = assembler.transform(labelled.withColumn("_weight", weight).sort("_url")).select("_features", "label", "_weight")
-    sample = cut(sample.coalesce(4))
-    if sample.select("label").distinct().count() < 2:
-        # the sample of a skewed table may miss one verdict: then all labelled rows are the sample
-        sample = cut(assembler.transform(rows.where(F.col("rule").isNotNull()).withColumn("label", (F.col("_ruled") == "block").cast("double")).withColumn("_weight", weight)).select("_features", "label", "_weight"))
-    model = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=12, maxDepth=3, seed=7).fit(sample)
-    judged = model.transform(assembler.transform(rows))
+    judged = fitted(sample).transform(_assembler().transform(rows))
     return judged.select(*names, F.coalesce("_ruled", F.when(F.col("prediction") == 1, "block").otherwise("allow")).alias("verdict"), F.element_at(vector_to_array("probability"), 2).alias("risk"))
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+
+
+def fitted(sample: DataFrame):
+    """The trees of a labelled sample."""
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=12, maxDepth=3, seed=7)
+    return trees.fit(_assembler().transform(sample).select("_features", "label", "_weight"))

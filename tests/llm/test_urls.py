@@ -1,6 +1,6 @@
 import random
 
-from lodestone.llm.urls import RULES, judge
+from lodestone.llm.urls import FEATURES, RULES, host_statistics, judge, sampled
 
 
 def brute(url):
@@ -35,3 +35,43 @@ def test_one_verdict_and_none(spark):
     assert [x.verdict for x in judge(df).collect()] == ["block"] * 3
     assert judge(df.where("page_id = 2")).first().verdict == "allow"
     assert judge(df.limit(0)).count() == 0
+
+
+def ranked_above(rows, score):
+    """AUC: how often a blocked URL's risk passes an allowed one's."""
+    good, bad = [score(x) for x in rows if x[1] == 0], [score(x) for x in rows if x[1] == 1]
+    return sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good))
+
+
+def test_trees_rank_hosts_they_never_saw(spark):
+    """URLs of blocked hosts carry digits and parameters; hosts without a rule are ranked by that alone."""
+    r = random.Random(4)
+
+    def url(host, bad):
+        path = "/".join("".join(r.choice("0123456789" if bad and r.random() < 0.7 else "abcdefg") for _ in range(8)) for _ in range(r.randrange(1, 4)))
+        return f"http://{host}/{path}" + ("?id=7&ref=9" if bad and r.random() < 0.8 else "")
+
+    rules = (("bad.test", "/", "block"), ("god.test", "/", "allow"))
+    rows = [(i, url(f"h{i % 50}.{'god' if i % 2 else 'bad'}.test", i % 2 == 0)) for i in range(800)]
+    new = [(1000 + i, url(f"h{i % 50}.new.test", i % 2 == 0), 1 - i % 2) for i in range(200)]
+    got = {x.page_id: x for x in judge(spark.createDataFrame(rows + [x[:2] for x in new], "page_id long, url string"), rules).collect()}
+    assert all(got[i].rule is None for i, _, _ in new)
+    assert ranked_above([(i, bad) for i, _, bad in new], lambda x: got[x[0]].risk) > 0.9
+
+
+def test_suffix_statistics_are_of_other_folds(spark):
+    rows = [(f"h{i}.com", "com", "block" if i % 3 else "allow") for i in range(60)] + [("x.com", "com", None), ("c.org", "org", "allow")]
+    got = host_statistics(spark.createDataFrame(rows, "host string, _suffix string, _ruled string")).collect()
+    com = {x.host: x.suffix_blocked for x in got if x.host.endswith("com")}
+    assert len(got) == 62 and len(set(com.values())) <= 4  # one value a fold: nothing of a host's own label
+    assert all(0.5 < v < 0.8 for v in com.values())
+    rate = 40 / 61
+    assert abs(next(x.suffix_blocked for x in got if x.host == "c.org") - rate) < 1e-9
+
+
+def test_the_sample_is_bounded_and_of_both_labels(spark):
+    rows = [(f"http://net/{i % 300}", 1.0) for i in range(3000)] + [(f"http://org/fr/{i}", 0.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "_url string, y double").selectExpr("_url", "'r' as rule", "if(y = 1, 'block', 'allow') as _ruled", *[f"y as {f}" for f in FEATURES])
+    got = sampled(df, 100).collect()
+    assert sum(x.label for x in got) == 50 and len(got) == 53 and len({x._url for x in got}) == 53
+    assert abs(sum(x._weight for x in got if x.label) - sum(x._weight for x in got if not x.label)) < 1e-6
