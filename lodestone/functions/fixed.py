@@ -91,3 +91,6 @@ PAIR_FEATURES = ("name_similarity", "key_overlap", "co_mention_overlap", "tempor
 PAIR_WEIGHTS = (-0.38727821588656636, 2.9146602039585465, 0.11385964278537736, 0.12000789415532688, -0.42710610034849605, 0.0004612013994622047)
 PAIR_INTERCEPT = -0.5957435208883064
 PAIR_THRESHOLD = 0.6
+
+#: Fixed: words whose dot ends no sentence.
+ABBREVIATIONS = ("dr", "fig", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "prof", "sr", "st", "vs", "etc", "e.g", "i.e")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,11 +31,12 @@ def automaton(entries: list[tuple[str, str]], normal: Callable[[str], str] = lam
 
 def without_overlaps(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Longest first, then leftmost, of those that overlap; in order of position."""
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str]] = []  # in order of position, without overlaps
     for s in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0], s[2])):
-        if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        at = bisect_left(kept, (s[0],))
+        if (at == 0 or kept[at - 1][1] <= s[0]) and (at == len(kept) or s[1] <= kept[at][0]):
+            kept.insert(at, s)
+    return kept
 
 
 def scan(text: str | None, found, proclitics: str = PROCLITICS) -> list[tuple[int, int, str, str]]:

@@ -221,18 +221,46 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_CRAWLED = "u AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || '/' || (page_id * 7 % 60) AS url, sha256((page_id * 11 % 90)::VARCHAR) AS hash, url AS link, html FROM pages)"
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under canonical addresses and content hashes that some of them share."""
+    p = read(spark, sf_dir, "pages")
+    host = F.lower(F.regexp_extract("url", "^https?://([^/?#]*)", 1))
+    return p.select("page_id", F.concat(host, F.lit("/"), F.col("page_id") * 7 % 60).alias("url"), F.sha2((F.col("page_id") * 11 % 90).cast("string"), 256).alias("hash"), F.col("url").alias("link"), "html")
+
+
 @register(
-    "k01_k04_ingest_new",
-    r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '') AS key, sha256(html) AS hash FROM pages),
-        old AS (SELECT * FROM u WHERE page_id % 3 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS a, row_number() OVER (PARTITION BY hash ORDER BY page_id) AS b FROM u WHERE page_id % 3 <> 0)
-        SELECT page_id, key FROM d WHERE a = 1 AND b = 1 AND key NOT IN (SELECT key FROM old) AND hash NOT IN (SELECT hash FROM old)""",
+    "k01_k03_inserted_rows",
+    f"""WITH RECURSIVE {_CRAWLED}, old AS (SELECT url, hash FROM u WHERE page_id % 50 = 0), n AS (SELECT page_id, url, hash, row_number() OVER (ORDER BY page_id) AS i FROM u WHERE page_id % 50 <> 0),
+        w(i, urls, hashes, page_id, url) AS (SELECT 0::BIGINT, (SELECT list(url) FROM old), (SELECT list(hash) FROM old), NULL::BIGINT, NULL::VARCHAR UNION ALL
+          SELECT n.i, CASE WHEN list_contains(urls, n.url) OR list_contains(hashes, n.hash) THEN urls ELSE list_append(urls, n.url) END, CASE WHEN list_contains(urls, n.url) OR list_contains(hashes, n.hash) THEN hashes ELSE list_append(hashes, n.hash) END,
+            CASE WHEN list_contains(urls, n.url) OR list_contains(hashes, n.hash) THEN NULL ELSE n.page_id END, n.url FROM w JOIN n ON n.i = w.i + 1)
+        SELECT page_id, url FROM w WHERE page_id IS NOT NULL""",
 )
-def ingest_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving pages inserted one after the other, each unless its address or its hash is there."""
     from ..sources.sinks import new_rows
 
-    key = F.concat(F.lower(F.regexp_extract("url", "^https?://([^/?#]*)", 1)), F.regexp_replace(F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1), "/+$", ""))
-    u = read(spark, sf_dir, "pages").select("page_id", key.alias("key"), F.sha2("html", 256).alias("hash"))
-    return new_rows(u.where("page_id % 3 <> 0"), u.where("page_id % 3 = 0"), ["key", "hash"], "page_id").select("page_id", "key")
+    u = _crawled(spark, sf_dir).select("page_id", "url", "hash")
+    return new_rows(u.where("page_id % 50 <> 0"), u.where("page_id % 50 = 0"), ["url", "hash"], "page_id").select("page_id", "url")
+
+
+@register(
+    "k04_ingested_facts",
+    f"""WITH {_CRAWLED}, old AS (SELECT url FROM u WHERE page_id % 50 = 0), n AS (SELECT * FROM u WHERE page_id % 50 <> 0 AND url NOT IN (SELECT url FROM old) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+        f AS (SELECT page_id, 'title' AS fact_type, regexp_extract(html, '<title>([^<]*)</title>', 1) AS value FROM n UNION ALL SELECT page_id, 'section', regexp_extract(link, '^https?://[^/]*/([a-z][a-z])/', 1) FROM n UNION ALL SELECT page_id, 'author', regexp_extract(html, 'name="author" content="([^"]*)"', 1) FROM n)
+        SELECT page_id, fact_type, value FROM f WHERE value <> ''""",
+)
+def ingested_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of new addresses alone, and a fact for each metadata field that isn't empty."""
+    from ..sources.sinks import facts_of, new_rows
+
+    u = _crawled(spark, sf_dir)
+    n = new_rows(u.where("page_id % 50 <> 0"), u.where("page_id % 50 = 0"), ["url"], "page_id")
+    fields = {"title": F.regexp_extract("html", "<title>([^<]*)</title>", 1), "section": F.regexp_extract("link", "^https?://[^/]*/([a-z][a-z])/", 1), "author": F.regexp_extract("html", 'name="author" content="([^"]*)"', 1)}
+    return facts_of(n.select("page_id", *[c.alias(k) for k, c in fields.items()]), "page_id", list(fields))
 
 
 @register(

@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.graph import cut
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows first by each key among themselves, none of whose keys exists."""
-    for k in keys:
-        rows = rows.withColumn(f"_{k}", F.row_number().over(Window.partitionBy(k).orderBy(order)))
-    for k in keys:
-        rows = rows.where(F.col(f"_{k}") == 1)
+    """Rows as inserted one after the other: a row goes in unless one of its keys is there already.
+
+    A row that isn't inserted doesn't keep out others. So rounds decide: rows that are the first left by
+    all of their keys go in, and what shares a key with them goes out, until none is left. ``order`` is unique.
+    """
     for k in keys:
         rows = rows.join(existing.select(k), k, "left_anti")
-    return rows.drop(*[f"_{k}" for k in keys])
+    left, kept = cut(rows), None
+    while not left.isEmpty():
+        firsts = [left.groupBy(k).agg(F.min(order).alias(order)).select(order) for k in keys]
+        won = left
+        for first in firsts:
+            won = won.join(first, order, "left_semi")
+        won = cut(won)
+        kept = won if kept is None else kept.unionByName(won)
+        for k in keys:
+            left = left.join(won.select(k), k, "left_anti")
+        left = cut(left)
+    return rows.limit(0) if kept is None else kept
 
 
 def upserted(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

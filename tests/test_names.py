@@ -36,4 +36,7 @@ def test_romanisation():
 
 
 def test_sentences():
-    assert [x for _, _, x in names.sentences("Dr. No paid 3.5 dollars. \"Why?!\" he said\n\nNew par. J. R. End...")] == ["Dr. No paid 3.5 dollars.", '"Why?!"', "he said", "New par.", "J. R. End..."]
+    assert [x for _, _, x in names.sentences("Dr. No paid 3.5 dollars. \"Why?!\" he said\n\nNew par. J. R. End...")] == ["Dr. No paid 3.5 dollars.", '"Why?!"', "he said", "New par.", "J.", "R.", "End..."]
+    assert [x for _, _, x in names.sentences("See fig. 3 of it. General Co. said so. The U.S. Army e.g. left.")] == ["See fig. 3 of it.", "General Co.", "said so.", "The U.S. Army e.g. left."]
+    assert [x for _, _, x in names.paragraphs("a\r\rb\nc\r\n \t\r\nd\n\n")] == ["a", "b\nc", "d"]
+    assert len(names.sentences("One two. " * 20_000)) == 20_000
