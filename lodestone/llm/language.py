@@ -6,8 +6,8 @@ one-versus-rest linear machines picks the language family; within the family, on
 vector machine for each pair of languages votes, ties going to the larger sum of margins. Machines
 are trained with the squared hinge loss by accelerated gradient descent.
 
-Training reads a bounded sample: of each language about ``per_language`` documents (at most twice
-as many), those whose hash is lowest, so that the sample spreads over all of the table. It is fitted
+Training reads a bounded sample: of each language at most ``per_language`` distinct texts, those
+whose hash is lowest, so that the sample spreads over all of the table. It is fitted
 in one task; only the model, whose size is fixed by ``BINS`` and the number of languages, goes
 through the driver. Prediction uses the text alone.
 """
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import slices
 
@@ -174,21 +175,37 @@ def _fit(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.weights.tobytes()]), pa.array([m.bias.tolist()], pa.list_(pa.float64()))], names=["langs", "weights", "bias"])
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", usable: Column | None = None, per_language: int = 400) -> Model:
+def _sample(docs: DataFrame, text: str, lang: str, per_language: int, highest: bool) -> DataFrame:
+    """(lang, text): of each language at most so many distinct texts of rows with the lowest (or highest) hashes."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("at")).where("lang is not null and text is not null")
+    order = F.desc("at") if highest else F.asc("at")
+    # the hash that bounds each language's sample comes from a pass over hashes alone, of which a partition sends on its first few
+    first = rows.select("lang", "at").withColumn("_n", F.dense_rank().over(Window.partitionBy("lang").orderBy(order))).where(F.col("_n") <= per_language)
+    ends = first.groupBy("lang").agg((F.min("at") if highest else F.max("at")).alias("end")).collect()  # a row a language
+    chosen = F.lit(False)
+    for r in ends:
+        chosen |= (F.col("lang") == r["lang"]) & ((F.col("at") >= r["end"]) if highest else (F.col("at") <= r["end"]))
+    return rows.where(chosen).select("lang", "text").distinct()
+
+
+def least_score(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", per_language: int = 100) -> float:
+    """Half of the least score of rightly predicted texts from the other end of the sample's order; 0 without any.
+
+    A text below it is unlike all that was learned.
+    """
+    held = predict(_sample(docs, text, lang, per_language, True), model, "text", ("lang",))
+    return (held.where("lang = lang_pred").agg(F.min("score")).first()[0] or 0.0) / 2
+
+
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", usable: Column | None = None, per_language: int = 400) -> Model:
     """A model of the documents that have a language (and are ``usable``).
 
-    ``per_language`` bounds the sample. No such document gives a model that answers ``und``.
+    ``per_language`` bounds the sample; a text that repeats counts once. Ids are not looked
+    at. No such document gives a model that answers ``und``.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if usable is not None:
-        rows = rows.where(usable)
-    share = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), share.alias("at"))
-    counts = docs.where(F.col(lang).isNotNull() & (usable if usable is not None else F.lit(True))).groupBy(F.col(lang).alias("lang")).count().collect()  # a row a language
-    chosen = F.lit(False)
-    for r in counts:
-        chosen |= (F.col("lang") == r["lang"]) & (F.col("at") < F.lit(per_language / r["count"]))
-    got = rows.where(chosen).groupBy(F.lit("all")).applyInArrow(_fit, "langs array<string>, weights binary, bias array<double>").first()
+        docs = docs.where(usable)
+    got = _sample(docs, text, lang, per_language, False).groupBy(F.lit("all")).applyInArrow(_fit, "langs array<string>, weights binary, bias array<double>").first()
     if got is None:
         return Model([], np.zeros((0, BINS), np.float32), np.zeros(0))
     return Model(list(got.langs), np.frombuffer(bytes(got.weights), np.float32).reshape(-1, BINS), np.array(got.bias))
@@ -211,7 +228,8 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score. Null texts and texts without a letter are ``und``, score 0.
 
-    Rows that repeat are predicted alike; an empty table gives no rows.
+    Very long texts are read whole. Rows that repeat are predicted alike; an empty table gives no rows.
+    Kept columns may not be called lang_pred or score; other columns are ignored.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("text"))
     out = rows.mapInArrow(_predict(model), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")

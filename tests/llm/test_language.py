@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.llm.language import Model, family, features, predict, train
+from lodestone.llm.language import Model, _sample, family, features, least_score, predict, train
 
 SYL = {"en": "the and ing er on tion wh ble".split(), "de": "der sch ein ung keit ü ß tz".split(), "fr": "le eau oi é tion que ê ç".split(), "es": "el ción ñ os ado lla mente í".split(), "ja": "の に は を 日 本 語".split()}
 
@@ -38,3 +38,21 @@ def test_features_ignore_neighbours():
     a, _ = features(["abc def", "x" * 1000, None])
     b, some = features(["abc def"])
     assert (a[0] == b[0]).all() and some.all()
+
+
+def test_the_sample_is_bounded_with_repeats_and_null_ids(spark):
+    r = random.Random(5)
+    hot = text(r, "en")
+    rows = [(7, hot, "en")] * 500 + [(None, hot, "en")] * 20 + [(i, text(r, "de", 10), "de") for i in range(200)] + [(None, text(r, "fr", 10), "fr"), (3, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as at", "2 as row").repartition(3)
+    got = _sample(df, "text", "lang", 30, False).collect()
+    assert sum(x.lang == "en" for x in got) == 1 and sum(x.lang == "de" for x in got) == 30 and len({x.text for x in got}) == len(got)
+    model = train(df, per_language=30)
+    assert {x.lang_pred for x in predict(df.where("doc_id = 7"), model).collect()} == {"en"}
+    assert 0 < least_score(df, model) < 0.5
+
+
+def test_very_long_text(spark):
+    r = random.Random(6)
+    m = Model.fit([text(r, x) for x in ["en", "de", "fr"] * 10], ["en", "de", "fr"] * 10)
+    assert m.predict([text(r, "de", 200_000)])[0] == ["de"]

@@ -72,3 +72,15 @@ def test_empty_documents(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_languages_unknown_and_tables_without_labels(spark, tmp_path):
+    """Text in no learned language goes if unlabelled; without any label all that has a letter stays."""
+    r = random.Random(2)
+    known = [(i, lang_text(r, lang, 40), lang, "a", 0) for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    odd = [(900 + i, " ".join("".join(r.choice("жщъыэяю") for _ in range(7)) for _ in range(40)), None, "a", 0) for i in range(5)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    got = {x.doc_id for x in corpus_pipeline.language_id(spark, spark.createDataFrame(known + odd, shape).repartition(3), "").collect()}
+    assert got == {x[0] for x in known}
+    none = spark.createDataFrame([(*x[:2], None, *x[3:]) for x in known + odd] + [(5000, "12 !", None, "a", 0), (5001, None, None, "a", 0)], shape)
+    assert {x.doc_id for x in corpus_pipeline.language_id(spark, none, "").collect()} == {x[0] for x in known + odd}
