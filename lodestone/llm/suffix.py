@@ -18,10 +18,11 @@ Members whose left extensions are all equal are no longer diverse and one stays
 A suffix with common left L and common right R at some interval, L + R >= length, is removed from
 L bytes before to R after the anchor, and all occurrences are found.
 
-*Large groups.* A group of more than ``GROUP`` different contexts (30 MB) isn't collected. The offsets at
-which a window can hold the anchor are halved again and again instead: contexts that agree on all
-a range of offsets needs are settled together, ones that agree with none on what it shares go, and
-only the rest is halved; counting is by hash with map-side sums.
+*Large groups.* A group of more than ``GROUP`` different contexts (30 MB) isn't collected. It is divided
+first: the offsets at which a window can hold the anchor are halved, and contexts whose windows at one
+half's offsets can be equal agree on the bytes that all of those windows share, which makes a smaller
+group. What has come to ``GROUP`` contexts or fewer goes to the interval tree, the rest is divided again;
+contexts that agree on all that a range of offsets can need are settled on the way, by hash.
 """
 
 from __future__ import annotations
@@ -222,7 +223,14 @@ def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
+def _settled(rows: DataFrame, n: int, length: int) -> DataFrame:
+    """(did, th, pos, l, r) of n contexts by the interval tree, each key in one task with others."""
+    buckets = n * 2 * length // BUCKET_BYTES + 4
+    dealt = rows.select("did", "th", "pos", "key", "c", "left", "right", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(_settle(length), "did long, th long, pos int, l int, r int")
+
+
+def _halve(scratch: Scratch, contexts: DataFrame, length: int, group: int) -> DataFrame:
     """What ``_settle`` finds, for groups of any size: (did, th, pos, l, r); a null ``did`` marks settled contexts that stay as partners."""
     part = lambda c, n: F.expr(f"substring({c}, 1, {n})")
 
@@ -239,7 +247,15 @@ def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
 
     rows = marked(contexts.select("did", "th", "pos", "key", "c", "left", "right", F.lit(0).alias("lo"), F.lit(length - KMER).alias("hi")))
     found: list[DataFrame] = []
-    while not rows.isEmpty():
+    while True:
+        sizes = scratch.keep(rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+        little, large = (sizes.where(t).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (f"n <= {group}", f"n > {group}"))
+        if little:
+            own = rows.join(sizes.where(F.col("n") <= group).select("a"), "a", "left_semi").withColumn("key", F.col("a"))
+            found.append(scratch.keep(_settled(own, little, length)))
+        if not large:
+            break
+        rows = rows.join(sizes.where(F.col("n") > group).select("a"), "a", "left_semi")
         same = rows.groupBy("a", "b").agg(F.sum("c").alias("all"))
         near = same.groupBy("a").agg(F.sum("all").alias("near"), F.count_if(F.col("all") < 2).alias("open")).where("near > 1 and open > 0").select("a")
         met = rows.join(same.where("all > 1").select("b", "all"), "b", "left")
@@ -253,10 +269,8 @@ def _halve(scratch: Scratch, contexts: DataFrame, length: int) -> DataFrame:
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         left = left.withColumn("x", F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))))
         after = marked(left.select("did", "th", "pos", "key", "c", "left", "right", "x.lo", "x.hi"))
-        scratch.drop(rows)
+        scratch.collect_garbage()
         rows = after
-        if len(found) % 3 == 0:
-            scratch.collect_garbage()
     out = contexts.select("did", "th", "pos", F.lit(0).alias("l"), F.lit(0).alias("r")).limit(0)
     for part_ in found:
         out = out.unionByName(part_)
@@ -319,13 +333,10 @@ def repeated_spans(scratch: Scratch, rows: DataFrame, length: int = LENGTH, grou
         return rows.join(spots, ["did", "th"]).select("did", "th", "text", "row", "spots").mapInArrow(_contexts(length), f"{_SPOT}, left binary, right binary")
 
     size = need.agg(F.count("*"), F.max("kinds")).first()
-    buckets = size[0] * 2 * length // BUCKET_BYTES + 4
-    few = fetch(need.where(F.col("kinds") <= group)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    out = "did long, th long, pos int, l int, r int"
     # repeats of contexts that occur once; those of the others are whole
-    found = whole.unionByName(few.groupBy("bucket").applyInArrow(_settle(length), out))
+    found = whole.unionByName(_settled(fetch(need.where(F.col("kinds") <= group)), size[0], length))
     if (size[1] or 0) > group:
-        found = found.unionByName(_halve(scratch, fetch(need.where(F.col("kinds") > group)), length))
+        found = found.unionByName(_halve(scratch, fetch(need.where(F.col("kinds") > group)), length, group))
     spans = found.select("did", "th", F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b")).alias("s"))
     return spans.groupBy("did", "th").agg(F.collect_set("s").alias("spans"))  # a text's own spans
 

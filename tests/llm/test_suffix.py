@@ -40,7 +40,7 @@ def corpus(seed, n=60, length=60):
     return rows + ["", "a" * 500, "ab" * 200, "a" * (length - 1), "a" * length, "z" + "a" * 100 + "y"]
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 2000), (2, 2000), (3, 1)])
+@pytest.mark.parametrize(("seed", "group"), [(1, 2000), (2, 2000), (3, 1), (4, 5)])
 def test_against_brute_force(spark, seed, group):
     texts = corpus(seed)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (None, texts[0] + "tail" * 30)]
