@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from . import fixed
 
+_NO_FOLDS: dict[str, str] = {}
 _MARKS = re.compile(f"[{fixed.MARK_RANGES}{fixed.TATWEEL}]")
 _OTHER = re.compile(r"[^\w]")
 
 
-def aligned(text: str | None, form: str = "NFKC", folds: dict[str, str] = fixed.FOLDS, marks: re.Pattern[str] | None = _MARKS) -> tuple[str, list[int]]:
+def aligned_by_character(text: str | None, form: str = "NFKC", folds: dict[str, str] = fixed.FOLDS, marks: re.Pattern[str] | None = _MARKS) -> tuple[str, list[int]]:
     """(normal form, the source position of each of its characters), character by character."""
     out: list[str] = []
     at: list[int] = []
@@ -42,8 +43,44 @@ def aligned(text: str | None, form: str = "NFKC", folds: dict[str, str] = fixed.
     return "".join(out), at
 
 
+_UNEVEN = "\uffff"  # no letter: stands for a character that becomes none or several
+_WORDS = re.compile("[^ ]+")
+
+
+class _Forms(dict):
+    """What each character becomes where that is one character, as a translation table filled on first sight."""
+
+    def __init__(self, form: str, folds: dict[str, str], marks: re.Pattern[str] | None) -> None:
+        self.form, self.folds, self.marks = form, folds, marks
+
+    def __missing__(self, code: int) -> str:
+        got = [x for p in unicodedata.normalize(self.form, chr(code)) if not (self.marks is not None and self.marks.match(p)) for x in self.folds.get(p, p).lower() if not unicodedata.combining(x)]
+        self[code] = _UNEVEN if len(got) != 1 else " " if _OTHER.match(got[0]) else got[0]
+        return self[code]
+
+
+_FORMS: dict[str, _Forms] = {}
+
+
+def aligned(text: str | None, form: str = "NFKC", folds: dict[str, str] = fixed.FOLDS, marks: re.Pattern[str] | None = _MARKS) -> tuple[str, list[int]]:
+    """``aligned_by_character``; texts whose characters all become one each go through a table at once."""
+    if not text:
+        return "", []
+    table = _FORMS.get(form)
+    if table is None or table.folds is not folds or table.marks is not marks:
+        table = _FORMS[form] = _Forms(form, folds, marks)
+    raw = text.translate(table)
+    if _UNEVEN in raw:
+        return aligned_by_character(text, form, folds, marks)
+    words, at = [], []
+    for w in _WORDS.finditer(raw):
+        words.append(w.group())
+        at.extend(range(w.start(), w.end() + 1))  # and the first separator after it
+    return " ".join(words), at[:-1]
+
+
 def aligned_latin(text: str | None) -> tuple[str, list[int]]:
-    return aligned(text, "NFKD", {}, None)
+    return aligned(text, "NFKD", _NO_FOLDS, None)
 
 
 def source_span(at: list[int], start: int, end: int) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import classify, learning
 from ..sources import pages as sources
 from . import model
 from .catalogue import read, register
@@ -73,7 +73,53 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a26_bootstrap_interval")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.bootstrap(_scores(spark, sf_dir).select("id", (F.col("score") - F.col("label")).alias("difference")))
+    """The interval of how much lower the scorer's squared error is than that of a constant one half, pair by pair."""
+    loss = lambda c: F.pow(c - F.col("label"), 2)
+    return learning.bootstrap(_scores(spark, sf_dir).select("id", (loss(F.lit(0.5)) - loss(F.col("score"))).alias("difference")))
+
+
+_THRESHOLDS = ", ".join(f"({0.3 + 0.05 * k:.2f}::DOUBLE)" for k in range(11))
+
+
+@register(
+    "l06_best_threshold",
+    f"WITH {_SCORES}, n AS (SELECT t, count(*) FILTER (WHERE score >= t AND label = 1) AS tp, count(*) FILTER (WHERE score >= t AND label <> 1) AS fp, count(*) FILTER (WHERE score < t AND label = 1) AS fn FROM s, (VALUES {_THRESHOLDS}) AS g(t) GROUP BY t), f AS (SELECT t, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END::DOUBLE AS f1 FROM n) SELECT greatest(t, 0.6) AS threshold, f1 FROM f ORDER BY f1 DESC, t LIMIT 1",
+)
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.best_threshold(_scores(spark, sf_dir))
+
+
+_WILSON = "(p + 1.645 ** 2 / (2 * n) - 1.645 * sqrt(p * (1 - p) / n + 1.645 ** 2 / (4 * n * n))) / (1 + 1.645 ** 2 / n)"
+
+
+@register(
+    "l07_candidate_verdict",
+    f"""WITH {_SCORES}, m AS (SELECT sum(label)::BIGINT AS positives, (count(*) - sum(label))::BIGINT AS negatives, avg((0.5 - label) ** 2 - (score - label) ** 2) AS low, count(*) FILTER (WHERE score >= 0.6 AND label = 1) / count(*) FILTER (WHERE score >= 0.6) AS p, count(*) FILTER (WHERE score >= 0.6)::DOUBLE AS n FROM s),
+        r AS (SELECT list_filter([CASE WHEN positives < 60 THEN 'too_few_positives' END, CASE WHEN negatives < 60 THEN 'too_few_negatives' END, CASE WHEN coalesce(low <= 0, true) THEN 'no_better_than_the_baseline' END, CASE WHEN coalesce({_WILSON} < 0.9, true) THEN 'precision_not_proven' END], lambda x: x IS NOT NULL) AS reasons FROM m)
+        SELECT CASE WHEN len(reasons) = 0 THEN 'eligible_for_manual_deployment_review' ELSE 'not_proven' END AS outcome, reasons FROM r""",
+)
+def candidate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, hit = _scores(spark, sf_dir), F.col("score") >= 0.6
+    gain = F.pow(0.5 - F.col("label"), 2) - F.pow(F.col("score") - F.col("label"), 2)
+    n = s.agg(F.sum("label").alias("positives"), (F.count("*") - F.sum("label")).alias("negatives"), F.avg(gain).alias("low"), F.count_if(hit & (F.col("label") == 1)).alias("h"), F.count_if(hit).alias("n"))
+    return classify.verdict(n.withColumn("precision_low", learning.wilson_lower(F.col("h"), F.col("n"))))
+
+
+@register("l03_sampled_pairs")
+def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of pairs to label: quotas by stratum under caps on names and sources."""
+    s = _scores(spark, sf_dir)
+    rows = s.select(F.col("id").alias("pair_id"), learning.stratum(F.col("score"), F.col("label") != 0).alias("stratum"), F.concat(F.lit("n"), F.col("id") % 97).alias("left_group"), F.concat(F.lit("n"), F.col("id") % 89).alias("right_group"), F.col("grp").cast("string").alias("left_source"), F.concat(F.lit("s"), F.col("id") % 53).alias("right_source"))
+    return learning.sample_pairs(rows, {"uncertain": 20, "high": 10, "low": 10, "diverse_name": 10}, "seed")
+
+
+@register("c07_topic_classifier")
+def topic_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro F1, on the fifth of the documents held out, of topics (here languages) learned from the others."""
+    d = read(spark, sf_dir, "documents").where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").alias("label"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = classify.train_topics(d.where(~held).drop("doc_id"), iterations=20)
+    return classify.macro_f1(classify.predicted(model, d.where(held)))
 
 
 @register(

@@ -27,8 +27,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     columns = _COLUMNS.format(kind=_KIND, src="concat('s', event_id % 6)")
     lease = f"CASE WHEN {_KIND} IN ('run_started', 'run_heartbeat') AND event_id % 37 > 0 THEN ts + make_dt_interval(0, 0, cast(event_id % 90 - 3 as int)) END AS lease_expires_at"
-    e.createOrReplaceTempView("_ledger_source")
-    return spark.sql(f"SELECT {columns}, concat('r', user_id, '-', date_format(ts, 'yyyyMMdd')) AS run_id, {lease} FROM _ledger_source")
+    return spark.sql(f"SELECT {columns}, concat('r', user_id, '-', date_format(ts, 'yyyyMMdd')) AS run_id, {lease} FROM {{e}}", e=e)
 
 
 _NOW = "TIMESTAMP '2024-01-25'"

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed, names, text
 from ..operators import latest as ops
 from ..operators import resolve
-from ..operators.graph import reachable
+from ..operators.graph import cut, reachable
 from . import model
 from .catalogue import read, register
 
@@ -31,7 +31,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = p.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id"))
     own = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), (F.col("p_size") % 2).alias("object_type"), F.when(F.col("p_size") % 5 > 0, F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(p_size)")).alias("published_at"))
     r = least.join(own, "id")
-    return r.withColumn("keys", text.blocking_keys(F.split("name", " "))).withColumn("co_mentions", F.split("name", " "))
+    return r.withColumn("keys", text.blocking_keys(F.split("name", " "), fixed.NAME_NOISE)).withColumn("co_mentions", F.split("name", " "))
 
 
 @register("t15_blocking_keys", f"WITH {_RECORDS} SELECT id, array_to_string(keys, ',') AS keys FROM records")
@@ -106,7 +106,7 @@ def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r09_r15_clusters")
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with a few decisions, clustered; then every record's cluster and the clusters' canonical names."""
-    r, s = _records(spark, sf_dir), _scored(spark, sf_dir)
+    r, s = _records(spark, sf_dir), cut(_scored(spark, sf_dir))  # read three times
     same_type = s.where("same_type = 1")
     rejected = same_type.where("(a + b) % 7 = 0").select("a", "b")
     edges = resolve.matches(same_type, same_type.where("(a + b) % 97 = 1").select("a", "b"), rejected)
@@ -123,10 +123,10 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM mentions m JOIN docs d ON d.id = m.doc_id AND NOT d.retracted JOIN names USING (doc_id)""",
 )
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = model.mentions(spark, sf_dir)
-    own = m.groupBy("doc_id").agg(F.collect_set("canonical").alias("ns"))  # bounded by the dictionary
     d = model.docs(spark, sf_dir).where("not retracted").select(F.col("id").alias("doc_id"), "source")
-    return m.join(d, "doc_id").join(own, "doc_id").select("doc_id", "object_type", "canonical", "surface", "source", F.array_join(F.array_sort(F.array_remove("ns", F.col("canonical"))), ",").alias("co_mentions"))
+    m = model.mentions(spark, sf_dir).join(d, "doc_id")
+    m = m.withColumn("ns", F.collect_set("canonical").over(Window.partitionBy("doc_id")))  # a document's mentions, bounded by the dictionary
+    return m.select("doc_id", "object_type", "canonical", "surface", "source", F.array_join(F.array_sort(F.array_remove("ns", F.col("canonical"))), ",").alias("co_mentions"))
 
 
 @register(

@@ -11,6 +11,8 @@ def test_normal_forms(t):
         out, at = f(t)
         assert len(out) == len(at) and at == sorted(at) and all(0 <= i < len(t) for i in at)
         assert f(out)[0] == out
+    assert names.aligned(t) == names.aligned_by_character(t)
+    assert names.aligned_latin(t) == names.aligned_by_character(t, "NFKD", {}, None)
     for spans in (names.paragraphs(t), names.sentences(t)):
         assert all(t[a:b] == x and x.strip() == x and x for a, b, x in spans)
         assert all(p[1] <= q[0] for p, q in zip(spans, spans[1:], strict=False))
