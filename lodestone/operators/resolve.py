@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,29 +79,65 @@ def matches(scored: DataFrame, accepted: DataFrame, rejected: DataFrame, thresho
     return good.join(accepted, ["a", "b"], "left_anti").unionByName(accepted.select("a", "b", F.lit(1.0).alias("similarity")))
 
 
+def _linked_completely(members: list[int], score: dict[tuple[int, int], float], threshold: float) -> list[set[int]]:
+    """Groups of sorted members: the two whose worst pair is best are merged while that pair reaches the threshold.
+
+    Pairs without a score never reach it, so only groups whose members all meet are kept in the heap. Of equal ones
+    the later in order goes first; a group has the place of its least member.
+    """
+    groups = {x: {x} for x in members}
+    near: dict[int, dict[int, float]] = {x: {} for x in members}
+    for (x, y), v in score.items():
+        if v >= threshold and x in near and y in near:
+            near[x][y] = near[y][x] = v
+    heap = [(-v, -x, -y) for x, row in near.items() for y, v in row.items() if x < y]
+    heapify(heap)
+    while heap:
+        v, x, y = (-k for k in heappop(heap))
+        if near[x].get(y) != v:
+            continue  # one of them has been merged meanwhile
+        a, b = near[x], near[y]
+        for own, row in ((x, a), (y, b)):
+            for k in row:
+                near[k].pop(own, None)
+        near[x], near[y] = {k: min(a[k], b[k]) for k in a.keys() & b.keys()}, {}
+        for k, w in near[x].items():
+            near[k][x] = w
+            heappush(heap, (-w, -min(x, k), -max(x, k)))
+        groups[x] |= groups.pop(y)
+    return list(groups.values())
+
+
 def _cluster(edges: list[tuple[float, int, int]], apart: set[tuple[int, int]], most: int, threshold: float) -> dict[int, int]:
     """Union by falling similarity unless that joins two that must stay apart; large clusters split by complete linkage."""
     members = {x: {x} for _, a, b in edges for x in (a, b)}
     root = {x: x for x in members}
+    forbidden: dict[int, set[int]] = {x: set() for x in members}  # roots that a root must not join
+    for x, y in apart:
+        if x in members and y in members:
+            forbidden[x].add(y)
+            forbidden[y].add(x)
     for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
         p, q = root[a], root[b]
-        if p == q or any((min(x, y), max(x, y)) in apart for x in members[p] for y in members[q]):
+        if p == q or q in forbidden[p]:
             continue
         if len(members[p]) < len(members[q]):
             p, q = q, p
         for x in members[q]:
             root[x] = p
         members[p] |= members.pop(q)
+        for x in forbidden.pop(q):
+            forbidden[x].discard(q)
+            forbidden[x].add(p)
+            forbidden[p].add(x)
     score = {(min(a, b), max(a, b)): s for s, a, b in edges}
+    of = {x: [] for x in members}
+    for pair, s in score.items():
+        if root[pair[0]] == root[pair[1]]:
+            of[root[pair[0]]].append((pair, s))
     out = {}
-    for group in members.values():
-        parts = [{x} for x in sorted(group)] if len(group) > most else [group]
-        while len(group) > most and len(parts) > 1:
-            worst, i, j = max((min(score.get((min(x, y), max(x, y)), 0.0) if (min(x, y), max(x, y)) not in apart else -1.0 for x in p for y in q), -i, -j) for i, p in enumerate(parts) for j, q in enumerate(parts) if i < j)
-            if worst < threshold:
-                break
-            parts[-i] |= parts.pop(-j)
-        for p in parts:
+    for r, group in members.items():
+        for p in _linked_completely(sorted(group), dict(of[r]), threshold) if len(group) > most else [group]:
             out |= {x: min(p) for x in p}
     return out
 

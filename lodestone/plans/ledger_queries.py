@@ -59,8 +59,8 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _APPEND_SQL = (
-    f"""WITH {_SQL}, old AS (SELECT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
-        new AS (SELECT DISTINCT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE id % 4 = 0),
+    f"""WITH {_SQL}, old AS (SELECT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE hour(occurred_at) < 12 QUALIFY row_number() OVER (PARTITION BY k ORDER BY id) = 1),
+        new AS (SELECT DISTINCT run_id || ':' || event_type AS k, event_type || coalesce(source, '') || (id % 2) AS c FROM e WHERE hour(occurred_at) >= 12),
         bad AS (SELECT new.k FROM new JOIN old ON new.k = old.k AND new.c <> old.c UNION SELECT k FROM new GROUP BY k HAVING count(*) > 1)
         SELECT k AS event_key, 'new' AS outcome FROM new WHERE k NOT IN (SELECT k FROM old) AND k NOT IN (SELECT k FROM bad) UNION ALL SELECT k, 'conflict' FROM bad"""
 )
@@ -75,14 +75,9 @@ def _appended(spark: SparkSession, sf_dir: str, stored: str, arriving: str) -> D
     return new.select("event_key", F.lit("new").alias("outcome")).unionByName(bad.select("event_key", F.lit("conflict").alias("outcome")))
 
 
-@register("b01_idempotent_append", _APPEND_SQL)
-def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _appended(spark, sf_dir, "id % 100 = 0", "id % 4 = 0")
-
-
 #: Runs are of one day, so the day's first half is stored and the second arrives; each event is in one of both.
-@register("b01_idempotent_append_all", _APPEND_SQL.replace("id % 100 = 0", "hour(occurred_at) < 12").replace("id % 4 = 0", "hour(occurred_at) >= 12"))
-def idempotent_append_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("b01_idempotent_append_all", _APPEND_SQL)
+def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _appended(spark, sf_dir, "hour(occurred_at) < 12", "hour(occurred_at) >= 12")
 
 

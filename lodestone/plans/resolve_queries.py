@@ -146,7 +146,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOP_SQL = (
-    f"WITH {model.MENTIONS_SQL}, c AS (SELECT object_type, surface, count(*) AS n FROM mentions GROUP BY ALL) SELECT object_type, surface, n FROM c QUALIFY row_number() OVER (PARTITION BY object_type ORDER BY n DESC, surface) <= 2"
+    f"WITH {model.MENTIONS_SQL}, c AS (SELECT object_type, surface, count(*) AS n FROM mentions GROUP BY ALL) SELECT object_type, surface, n FROM c QUALIFY row_number() OVER (PARTITION BY object_type ORDER BY n DESC, surface) <= 12"
 )
 
 
@@ -155,13 +155,8 @@ def _top(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     return c.withColumn("r", F.row_number().over(Window.partitionBy("object_type").orderBy(F.desc("n"), "surface"))).where(F.col("r") <= most).drop("r")
 
 
-@register("w10_top_entities", _TOP_SQL)
+@register("w10_top_entities_12", _TOP_SQL)
 def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, 2)
-
-
-@register("w10_top_entities_12", _TOP_SQL.replace("<= 2", "<= 12"))
-def top_12_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 12)
 
 
@@ -214,10 +209,9 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- lineage: parts move from one generation's owners (brand) to the next one's clusters (type and size)
 
-_GEN = "m AS (SELECT p_partkey AS evidence, p_brand AS owner, p_type || '-' || (p_size % 9) AS cluster FROM part WHERE p_partkey % 10 < 8)"
+_GEN = "m AS (SELECT p_partkey AS evidence, p_brand AS owner, p_type || '-' || (p_size % 9) AS cluster FROM part)"
 _RECONCILE = f"""{_GEN}, o AS (SELECT owner, cluster, count(*) AS n FROM m GROUP BY ALL), child AS (SELECT owner, cluster, n FROM o QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n DESC, cluster) = 1),
   heir AS (SELECT owner, cluster FROM child QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, owner) = 1)"""
-_SUBSET = " WHERE p_partkey % 10 < 8"
 
 
 def _overlap(parts: DataFrame) -> DataFrame:
@@ -238,13 +232,8 @@ def _reconciled(o: DataFrame) -> DataFrame:
 _RECONCILE_SQL = f"WITH {_RECONCILE}, c AS (SELECT DISTINCT cluster FROM o) SELECT c.cluster, coalesce(heir.owner, 'new:' || substr(sha256(c.cluster), 1, 8)) AS stable_uid, heir.owner IS NOT NULL AS inherited FROM c LEFT JOIN heir USING (cluster)"
 
 
-@register("j13_g07_g08_reconcile", _RECONCILE_SQL)
+@register("j13_g07_g08_reconcile_all", _RECONCILE_SQL)
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconciled(_overlap(read(spark, sf_dir, "part").where("p_partkey % 10 < 8")))
-
-
-@register("j13_g07_g08_reconcile_all", _RECONCILE_SQL.replace(_SUBSET, ""))
-def reconcile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reconciled(_overlap(read(spark, sf_dir, "part")))
 
 
@@ -263,38 +252,23 @@ def _edges(o: DataFrame) -> DataFrame:
     return x.select(F.col("owner").alias("src"), "dst", kind.alias("relationship"), F.col("n").alias("witnesses"))
 
 
-@register("g11_lineage", _LINEAGE_SQL)
+@register("g11_lineage_all", _LINEAGE_SQL)
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(_overlap(read(spark, sf_dir, "part").where("p_partkey % 10 < 8")))
-
-
-@register("g11_lineage_all", _LINEAGE_SQL.replace(_SUBSET, ""))
-def lineage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(_overlap(read(spark, sf_dir, "part")))
 
 
-def _targets(orders: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """The ends of walks over the orders' edges from (origin, node) rows, or from every source node."""
+def _targets(orders: DataFrame) -> DataFrame:
+    """The ends of walks over the orders' edges from every source node."""
     e = orders.select((F.col("o_custkey") % 300).alias("src"), (F.col("o_custkey") % 300 + 1 + F.col("o_orderkey") % 7).alias("dst")).distinct()
-    if start is None:
-        start = e.select(F.col("src").alias("origin"), F.col("src").alias("node"))
+    start = e.select(F.col("src").alias("origin"), F.col("src").alias("node"))
     return reachable(e, start).join(e.select(F.col("src").alias("node")), "node", "left_anti")
 
 
-@register(
-    "g14_current_targets",
-    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS src, o_custkey % 300 + 1 + o_orderkey % 7 AS dst FROM orders WHERE o_orderkey % 50 = 0), w(origin, node) AS (SELECT n, n FROM (SELECT unnest(range(0, 300, 25)) AS n) UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT origin, node FROM w WHERE node NOT IN (SELECT src FROM e)",
-)
-def current_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = spark.range(0, 300, 25).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return _targets(read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"), start)
-
-
 @register(
     "g14_current_targets_all",
     "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 300 AS src, o_custkey % 300 + 1 + o_orderkey % 7 AS dst FROM orders), w(origin, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT w.origin, e.dst FROM w JOIN e ON e.src = w.node) SELECT origin, node FROM w WHERE node NOT IN (SELECT src FROM e)",
 )
-def current_targets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def current_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targets(read(spark, sf_dir, "orders"))
 
 

@@ -96,3 +96,46 @@ def test_streams(spark, tmp_path):
     assert streams.drained(streams.idempotent(stream), "append").count() == 5
     assert streams.drained(streams.windowed_counts(stream, "1 hour")).agg(F.sum("n")).first()[0] == 20
     assert streams.drained(streams.leases(stream), "append").where("status = 'running'").count() == 2
+
+
+def test_complete_linkage_by_brute_force():
+    import random
+
+    for seed in range(30):
+        r = random.Random(seed)
+        n = 14
+        score = {(i, j): round(r.random(), 1) for i in range(n) for j in range(i + 1, n) if r.random() < 0.7}
+        groups = [[i] for i in range(n)]
+        while True:
+            best, at = 0.4, None
+            for i in range(len(groups)):
+                for j in range(i + 1, len(groups)):
+                    worst = min(score.get((min(a, b), max(a, b)), 0.0) for a in groups[i] for b in groups[j])
+                    if worst >= best:
+                        best, at = worst, (i, j)
+            if at is None:
+                break
+            groups[at[0]] += groups.pop(at[1])
+        got = resolve._linked_completely(list(range(n)), score, 0.4)
+        assert sorted(map(sorted, got)) == sorted(map(sorted, groups)), seed
+
+
+def test_parts_that_stay_apart(spark):
+    """Greedy in order of ids, each into the first part without anyone it must not meet."""
+    import random
+
+    from lodestone.operators.provenance import partition_apart
+
+    r = random.Random(3)
+    members = [(f"g{i % 5}", i) for i in range(60)]
+    apart = {tuple(sorted((r.randrange(60), r.randrange(60)))) for _ in range(120)}
+    apart = {(a, b) for a, b in apart if a != b}
+    want = []
+    for g in range(5):
+        parts = []
+        for x in range(g, 60, 5):
+            home = next((p for p in parts if all((min(x, y), max(x, y)) not in apart for y in p)), None)
+            parts.append([x]) if home is None else home.append(x)
+        want += [(f"g{g}", x, min(p)) for p in parts for x in p]
+    got = partition_apart(spark.createDataFrame(members, "grp string, id long"), spark.createDataFrame(sorted(apart), "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

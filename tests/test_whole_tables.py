@@ -1,7 +1,8 @@
 """Queries that read whole tables, held against plain Python over all of their rows."""
 
+import math
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow.dataset as ds
 import pytest
@@ -74,3 +75,51 @@ def test_romanised_names_of_all_tables(spark):
         names |= {(table, r[key]): r[name] for r in rows(table)}
     got = {(r.table, r.id, r.rank): r.spelling for r in run(spark, "t16_romanised_names")}
     assert got == {(*k, i): x for k, t in names.items() for i, x in enumerate(romanized(t))}
+
+
+def test_name_scores_of_all_pairs(spark):
+    """Every candidate pair's similarity and probability, from the names and the other features."""
+    from lodestone.functions import fixed
+    from lodestone.functions.names import similarity
+    from lodestone.plans.resolve_queries import _records
+
+    name = {r.id: r["name"] for r in _records(spark, SF).select("id", "name").collect()}
+    rest = {(r.a, r.b): r for r in run(spark, "r06_r07_features_and_scores")}
+    got = run(spark, "n01_r07_name_similarity_scores")
+    assert {(r.a, r.b) for r in got} == set(rest) and got
+    for r in got:
+        assert abs(r.name_similarity - similarity(name[r.a], name[r.b])) < 1e-12
+        x = [r.name_similarity, *(rest[r.a, r.b][f] for f in fixed.PAIR_FEATURES[1:])]
+        assert abs(r.p - 1 / (1 + math.exp(-(fixed.PAIR_INTERCEPT + sum(w * v for w, v in zip(fixed.PAIR_WEIGHTS, x)))))) < 1e-9
+
+
+def test_dictionary_mentions_of_all_documents(spark):
+    """Hits found by looking at every word of the folded text, the longest first, then the leftmost."""
+    from lodestone.functions.names import aligned
+
+    entries = {aligned(s)[0]: kind for kind, _, s in model.DICTIONARY}
+    want = set()
+    for d in rows("documents"):
+        form, at = aligned(d["text"])
+        words, pos = [], 0
+        for w in form.split(" "):
+            words.append((pos, w))
+            pos += len(w) + 1
+        hits = [(at[a], at[a + len(w) - 1] + 1, entries[w]) for a, w in words if w in entries]
+        want |= {(d["doc_id"], a, b, k) for a, b, k in hits}
+    got = {(r.id, r.start_offset, r.end_offset, r.object_type) for r in run(spark, "x02_x04_dictionary_mentions")}
+    assert got == want
+
+
+def test_clusters_of_all_records(spark):
+    """No rejected pair in one cluster, no cluster across components, and a cluster for every record."""
+    from lodestone.plans.resolve_queries import _records, _scored
+
+    got = {r.id: r.cluster for r in run(spark, "r09_r15_clusters")}
+    assert set(got) == {r.id for r in _records(spark, SF).collect()}
+    pairs = [(r.a, r.b, r.p) for r in _scored(spark, SF).where("same_type = 1").collect()]
+    assert all(got[a] != got[b] for a, b, _ in pairs if (a + b) % 7 == 0)
+    size = Counter(got.values())
+    linked = {frozenset((a, b)) for a, b, p in pairs if (p >= 0.6 or (a + b) % 97 == 1) and (a + b) % 7}
+    for a, c in got.items():
+        assert size[c] == 1 or any(frozenset((a, b)) in linked for b, d in got.items() if d == c and b != a)
