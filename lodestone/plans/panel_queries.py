@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import names
+from ..functions.blobs import gunzipped, gzipped
 from ..operators import contracts, learning, resolve
 from ..sources import adapters
 from . import model
@@ -258,3 +259,39 @@ def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         tag(F.col("page_id") % 3 == 0, F.lit('<a aria-label="Next page" href="https://x.example/n">»</a>')),
     )
     return adapters.listing_links(p.select("page_id", "url", html.alias("html")))
+
+
+@register("n09_gzip_round_trip", "SELECT doc_id, sha256(text) AS sha, length(text) AS n, true AS smaller_or_short FROM documents WHERE text IS NOT NULL")
+def gzip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts compressed and back again; short ones may grow by the format's head."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", gzipped("text").alias("b"))
+    back = d.withColumn("t", gunzipped("b"))
+    return back.select("doc_id", F.sha2("t", 256).alias("sha"), F.length("t").cast("long").alias("n"), (F.length("b") <= F.octet_length("text") + 40).alias("smaller_or_short"))
+
+
+@register(
+    "k14_review_labels",
+    "WITH p AS (SELECT o_custkey % 200 AS a, 200 + o_custkey % 17 AS b, max_by(o_totalprice / 600000, o_orderkey) AS score, max(o_orderkey) AS pair_id FROM orders GROUP BY 1, 2), d AS (SELECT o_custkey % 200 AS a, 200 + o_custkey % 17 AS b, max_by(CASE WHEN o_orderkey % 3 = 0 THEN 'same' ELSE 'different' END, o_orderkey) AS decision FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2) SELECT a, b, pair_id, score, decision = 'same' AS label FROM p JOIN d USING (a, b)",
+)
+def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the label export holds: the newest review row of each decided pair with its newest decision."""
+    key, a, b = F.col("o_orderkey"), (F.col("o_custkey") % 200).alias("a"), (200 + F.col("o_custkey") % 17).alias("b")
+    o = read(spark, sf_dir, "orders")
+    p = o.groupBy(a, b).agg(F.max_by(F.col("o_totalprice") / 600000, key).alias("score"), F.max(key).alias("pair_id"))
+    d = o.where("o_orderstatus <> 'O'").groupBy(a, b).agg(F.max_by(F.when(key % 3 == 0, "same").otherwise("different"), key).alias("decision"))
+    return p.join(d, ["a", "b"]).select("a", "b", "pair_id", "score", (F.col("decision") == "same").alias("label"))
+
+
+@register(
+    "k12_country_pages",
+    f"WITH {_PANELS}, recent AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY collected_at DESC, id) AS r FROM live) SELECT c.slug, c.n AS total, (SELECT string_agg(topic || '=' || p.n, ',' ORDER BY topic) FROM pages p WHERE p.country = c.country) AS topics, (SELECT string_agg(id::VARCHAR, ',' ORDER BY r) FROM recent WHERE recent.source = c.country AND r <= 50) AS articles FROM countries c",
+)
+def country_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a country page: totals, topics and the fifty newest documents, without their text."""
+    live = model.docs(spark, sf_dir).where("not retracted")
+    slug = F.lower(F.regexp_replace("source", "[^a-zA-Z0-9]+", "-"))
+    topics = live.groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "lang", "n"))), ",").alias("topics"))
+    newest = Window.partitionBy("source").orderBy(F.desc("collected_at"), "id")
+    top = live.select("source", "id", "collected_at").withColumn("r", F.row_number().over(newest)).where("r <= 50")
+    lists = top.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("articles"))
+    return topics.join(lists, "source").select(slug.alias("slug"), "total", "topics", "articles")
