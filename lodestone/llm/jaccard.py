@@ -377,7 +377,7 @@ def _links(scratch: Scratch, sets: DataFrame) -> DataFrame | None:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, cls (its class, 16 bytes), th (a hash of its text).
 
-    Null or wordless texts have no shingles and are their own component. Rows that repeat are
+    Very long texts are read whole, a few megabytes of words at a time. Null or wordless texts have no shingles and are their own component. Rows that repeat are
     documents of one class. A null doc_id gets the component_id of its class, the smallest other
     doc_id, or null if there is none. Other columns are ignored. An empty table gives no rows.
     """

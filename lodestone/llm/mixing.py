@@ -194,8 +194,9 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
 
     Sort by mix_place within mix_shard to read a shard in its shuffled order. Null or wordless
     texts have size 0 and are drawn only in whole passes. Null sources are one source, the last.
-    Rows alike in doc_id and text have the same hash and are drawn together. An empty table gives
-    an empty mix. Columns that clash with mix_shard or mix_place are replaced.
+    Rows alike in doc_id and text have the same hash and are drawn together; ties of hashes go by
+    doc_id. Very long texts are one block like any other and never shuffled. An empty table gives
+    an empty mix. Columns that clash with mix_shard or mix_place are replaced, others stay.
     """
     planned = plan(measure(docs, text, doc_id, source, seed), weights, share, cap, shards, seed)
     own = [c for c in docs.columns if c not in ("mix_shard", "mix_place")]
@@ -205,7 +206,11 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
 
 
 def taken(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 0) -> DataFrame:
-    """One row per document: its size, its source's size and target, the words taken, the shards."""
+    """One row per document: its size, its source's size and target, the words taken, the shards.
+
+    Nulls, repeats, very long texts and empty tables are as in ``mixed``; other columns are ignored,
+    whatever their names.
+    """
     units = measure(docs, text, doc_id, source, seed)
     rows = decide(units, plan(units, weights, share, cap, shards, seed), seed)
     return rows.select("doc_id", "size", "source_size", "target", (F.size("drawn") * F.col("size")).cast("long").alias("taken"), F.col("drawn.shard").alias("shards"))

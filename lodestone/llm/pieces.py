@@ -273,7 +273,9 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[st
     """The kept columns with n_pieces, ids_crc32, round_trip (decoding gave the text back), ids (packed).
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers. Null texts are empty: no
-    pieces. Rows that repeat give rows that repeat; an empty table gives no rows.
+    pieces. Very long texts are encoded whole, long runs of spaces in n log n. Rows that repeat give
+    rows that repeat; an empty table gives no rows. Kept columns may not have the names of the
+    result's; others are ignored.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -291,7 +293,7 @@ def _decode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def decoded(rows: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with text, decoded from packed ids; null ids give null."""
+    """The kept columns (none called text) with text, decoded from packed ids; null ids give null, rows that repeat repeat, no rows none."""
     rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(ids).alias("ids"))
     out = rows.mapInArrow(_decode(model_path), f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.*", "text")

@@ -345,8 +345,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tup
     """The kept columns with n_bytes, n_removed, n_spans, kept_sha256, removed (runs), kept_text
     (without characters of which a cut leaves a part).
 
-    Null texts are empty; texts shorter than ``length`` keep all. Rows that repeat are repeats of
-    each other like any two documents. An empty table gives no rows; columns that aren't kept are
+    Null texts are empty; texts shorter than ``length`` keep all; very long ones are read whole, in
+    pieces that overlap. Rows that repeat, those of a null doc_id too, are repeats of each other like
+    any two documents. Kept columns may not have the names of the result's. An empty table gives no rows; columns that aren't kept are
     ignored, whatever their names.
     """
     rows = _keyed(docs, text, doc_id, keep)

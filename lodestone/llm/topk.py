@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
     Ties go to the smaller id. Rows with a null id, a null vector, or a component that is null or
     not finite take no part, on either side; of vectors that differ in length the shorter counts as
     filled up with zeros. Very long vectors make blocks as wide as they are. Columns of other names are ignored. A row is no candidate for a query of its id. Fewer candidates than k: all
-    of them; none, or an empty table: no rows. A query row that repeats is answered each time.
+    of them; none, or an empty table: no rows. A query row that repeats is answered each time, a candidate that repeats is ranked each time.
     """
     schema = "block long, rows int, norm double, ids binary, matrix binary"
 

@@ -123,3 +123,12 @@ def test_scratch_is_removed(spark, tmp_path):
     near_duplicates(spark.createDataFrame(corpus(4, 40), "doc_id long, text string")).count()
     monkey.undo()
     assert not list(tmp_path.glob("scratch-*"))
+
+
+def test_very_long_and_repeated_texts(spark):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(10**9)}" for _ in range(250_000))
+    rows = [(1, long), (2, long + " one more"), (2, long + " one more"), (3, "x " * 300_000), (4, "x x x x x x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as cls", "1 as key", "2 as th")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in near_duplicates(df).collect())
+    assert got == [(1, 249_996, 1), (2, 249_998, 1), (2, 249_998, 1), (3, 1, 3), (4, 1, 3)]

@@ -64,3 +64,10 @@ def test_frames(spark):
     bad = [i for i, t, _ in rows if i is not None and back[i] != t]
     assert [rows[i][1] for i in bad] == [f"x{MARK}y"]
     assert encoded(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_repeats_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (2, None, 6)], "doc_id long, text string, n int").selectExpr("*", "'x' as row", "1 as ids").repartition(2)
+    got = encoded(df, PATH, keep=("doc_id", "n"))
+    assert got.columns == ["doc_id", "n", "n_pieces", "ids_crc32", "round_trip", "ids"]
+    assert sorted((r.doc_id, r.n, r.n_pieces > 0, r.round_trip) for r in got.collect()) == [(1, 5, True, True), (1, 5, True, True), (2, 6, False, True)]

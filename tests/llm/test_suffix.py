@@ -80,3 +80,10 @@ def test_long_text_without_repeats_stays(spark):
 
 def test_empty_table(spark):
     assert suffix.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(500))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "short")], "doc_id long, text string").selectExpr("*", "1 as did", "2 as th", "3 as spans", "4 as n_bytes").repartition(2)
+    got = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in suffix.dedup(df).collect())
+    assert got == [(0, 500, 1), (1, 500, 1), (1, 500, 1), (2, 0, 0)]
