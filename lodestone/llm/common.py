@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,30 @@ BROADCAST_BYTES = 8 << 20
 _U = np.uint64
 
 
+#: What operators keep in a Python worker between tasks, by the name of the operator, as functions that let it go.
+KEEPERS: dict[str, Callable[[], None]] = {}
+_holder: list[str] = [""]
+
+
+def claim(name: str) -> None:
+    """Called as an operator's task begins: a worker that served another operator lets go of what that one kept.
+
+    Workers outlive a stage, so stores would add up along a pipeline; freed memory goes back to the system.
+    """
+    if _holder[0] == name:
+        return
+    for other, clear in KEEPERS.items():
+        if other != name:
+            clear()
+    _holder[0] = name
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

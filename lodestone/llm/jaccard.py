@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, cut, mix, slices, small, utf8, word_hashes
+from .common import Scratch, claim, cut, mix, slices, small, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -141,6 +141,7 @@ def _fingerprints(buckets: int, coarse: int):
     few, kind = min(buckets, coarse), np.uint32 if buckets <= coarse else _U
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for batch, texts in _parts(batches):
             sets, sizes = shingle_sets(texts)
             cls = class_ids(sets, sizes)
@@ -187,6 +188,7 @@ def _finer(buckets: int, most: int = 64):
 
 def _count_shared(group: pa.Table) -> pa.Table:
     """Documents pass; of fingerprints, how many of each class some other class has too."""
+    claim(__name__)
     docs = group.filter(pc.is_null(group["payload"]))
     fp, cl = _unpacked(group["payload"].drop_null().to_pylist(), np.uint32)
     keys, shared = np.zeros(0, _U), np.zeros(0, np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import claim, slices
 
 BITS = 12
 BINS = 1 << BITS
@@ -170,6 +170,7 @@ class Model:
 
 
 def _fit(group: pa.Table) -> pa.Table:
+    claim(__name__)
     rows = group.select(["lang", "text"]).sort_by([("lang", "ascending"), ("text", "ascending")]).to_pydict()
     m = Model.fit(rows["text"], rows["lang"])
     return pa.table([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.weights.tobytes()]), pa.array([m.bias.tolist()], pa.list_(pa.float64()))], names=["langs", "weights", "bias"])
@@ -215,6 +216,7 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     langs, weights, bias = model.langs, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         m = Model(langs, weights, bias)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

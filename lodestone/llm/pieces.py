@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEEPERS, claim
 from .tokens import Kept
 
 MARK = "▁"
-KEPT = 200_000
+KEPT = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -244,6 +245,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+KEEPERS[__name__] = _codecs.clear
 
 
 def codec(path: str) -> Codec:
@@ -255,6 +257,7 @@ def codec(path: str) -> Codec:
 
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         c = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):

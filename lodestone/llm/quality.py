@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, cut, mix, slices, small, utf8, word_hashes
+from .common import _SPACE, claim, cut, mix, slices, small, utf8, word_hashes
 
 BLOCKED = 2.0
 SURE = 2.0
@@ -74,6 +74,7 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray | list[int]]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(__name__)
     for batch in batches:
         texts = utf8(batch.column("text"))
         counts = text_counts(texts)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, powers, prefix_hashes, utf8
+from .common import Scratch, claim, mix, powers, prefix_hashes, utf8
 
 LENGTH = 400
 KMER = 32
@@ -123,6 +123,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 def _find(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         for batch in batches:
             texts = utf8(batch.column("text"))
             for at in range(0, len(texts), 1024):
@@ -204,6 +205,7 @@ def interval_tree(lefts: list[bytes], rights: list[bytes], length: int = LENGTH)
 
 def _settle(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
+        claim(__name__)
         order = pc.sort_indices(group["key"])
         group = group.take(order)
         keys = group["key"].to_numpy()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import KEEPERS, claim, shared_dir
 
 #: Words kept with their ids in each Python worker, in either of two generations.
 KEPT_WORDS = 600_000
@@ -283,6 +283,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+KEEPERS[__name__] = _encoders.clear
 
 
 def encoder(path: str, dtype: str) -> Encoder:
@@ -303,6 +304,7 @@ def _write(path: str, folder: str, dtype: str, end_id: int | None) -> Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim(__name__)
         e = encoder(path, dtype)
         k = TaskContext.get().partitionId()
         store, at = _open(folder)
