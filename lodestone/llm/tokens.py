@@ -257,6 +257,8 @@ class Encoder:
                 mixed.append(w)
         yield from zip(other, (x.tobytes() for x in self._library(other)), strict=True)
         yield from zip(letters, self._parts([w.lower() for w in letters]), strict=True)
+        if not mixed:
+            return
         cut = _PARTS.findall(" ".join(mixed).lower())
         stops = [i for i, x in enumerate(cut) if x == " "]
         ids = self._parts([x for x in cut if x != " "])

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm.tokens import Kept, encoder, frame, masked_crc, round_trip, unframe
+from lodestone.llm.tokens import Encoder, Kept, encoder, frame, masked_crc, round_trip, unframe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,3 +80,10 @@ def test_round_trip(spark):
         at += r.n_tokens
         want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_each_kind_of_words_alone():
+    """Texts whose new words are all of letters, all mixed, or all for the library; and none at all."""
+    t, e = Tokenizer.from_file(PATH), Encoder(PATH, "<u2")
+    for some in (["only letters here", "and letters"], ["only letters here"], [], [""], ["1a 2b, x."], ["日本 Σ"], ["and 日本 1a"]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.texts(some)] == [t.encode(x, add_special_tokens=False).ids for x in some]
