@@ -35,7 +35,7 @@ from .common import KEEPERS, claim
 from .tokens import Kept
 
 MARK = "▁"
-KEPT = 150_000
+KEPT = 100_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
