@@ -15,9 +15,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing label is filled in.
 
-    Texts without a letter go, and those unlike all languages learned: below half of the least score of
-    held-out texts that were predicted rightly, unless the prediction is the document's own label. If
-    no document has a label there is nothing to learn, and all with a letter stay.
+    Model and threshold come from all labelled texts. Texts without a letter go, and those unlike all
+    languages learned: below half of the least score of labelled texts that are predicted rightly, unless
+    the prediction is the document's own label. If no document has a label there is nothing to learn, and
+    all with a letter stay.
     """
     small_batches(spark)
     model = language.train(docs)

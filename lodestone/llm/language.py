@@ -6,10 +6,15 @@ one-versus-rest linear machines picks the language family; within the family, on
 vector machine for each pair of languages votes, ties going to the larger sum of margins. Machines
 are trained with the squared hinge loss by accelerated gradient descent.
 
-Training reads a bounded sample: of each language at most ``per_language`` distinct texts, those
-whose hash is lowest, so that the sample spreads over all of the table. It is fitted
-in one task; only the model, whose size is fixed by ``BINS`` and the number of languages, goes
-through the driver. Prediction uses the text alone.
+Training minimises each machine's loss over all labelled texts. It begins at machines fitted in one
+task to a bounded sample: of each language at most ``per_language`` distinct texts, those whose hash
+is lowest, so that it spreads over all of the table. Then each of ``PASSES`` passes reads all labelled
+texts and sums every machine's loss and gradient. The next point minimises the sample's loss with its
+gradient set right by the difference to that of the whole (a surrogate loss: the sample gives the
+curvature only), half the way to it if the step before raised the loss of the whole. Of a machine's
+points the one of the least loss over all texts is the result. Only the model and its gradient, whose
+sizes are fixed by ``BINS`` and the number of languages, go through the driver. Prediction uses the
+text alone.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +32,10 @@ from .common import claim, slices
 
 BITS = 12
 BINS = 1 << BITS
+#: Passes of training over all labelled texts.
+PASSES = 3
+#: What the loss weighs against the size of the weights.
+COST = 10.0
 #: Fixed: languages by family; an unlisted language is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -74,6 +84,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         codes = table[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
         ends = np.cumsum([len(t) + 6 for t in part])
         keep = np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))  # runs of other characters are one space
+        keep[np.append(0, ends[:-1])] = True  # each text has a space of its own before it
         kept = np.cumsum(keep)
         bounds = np.append(0, kept[ends - 1])
         x = codes[keep].astype(_U)
@@ -96,19 +107,28 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """A linear machine for y in {-1, 1}: weights and intercept; classes count alike."""
+def svm(x: np.ndarray, y: np.ndarray, c: float = COST, steps: int = 150, start: np.ndarray | None = None, slope: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """A linear machine for y in {-1, 1}: weights and intercept; classes count alike.
+
+    ``slope`` is the gradient of the loss (without its share of the weights) that is to hold at ``start``
+    in place of these rows' own.
+    """
     n, d = x.shape
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     y = y.astype(np.float32)
-    w, z, t = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32), 1.0
+    w = np.zeros(d + 1, np.float32) if start is None else start.astype(np.float32)
+    z, t = w.copy(), 1.0
     x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
+    pull = np.float32(0)
+    if slope is not None:
+        slack = np.maximum(np.float32(0), np.float32(1) - y * (x1 @ w))
+        pull = slope.astype(np.float32) + np.float32(2.0 * c) * (x1.T @ (weight * slack * y))
     rate = 1.0 / (1.0 + 2.0 * c * 2.0)  # rows have unit length, so the loss bends by no more
     for _ in range(steps):
         slack = np.maximum(np.float32(0), np.float32(1) - y * (x1 @ z))
         grad = z.copy()
         grad[-1] = 0.0
-        grad -= np.float32(2.0 * c) * (x1.T @ (weight * slack * y))
+        grad += pull - np.float32(2.0 * c) * (x1.T @ (weight * slack * y))
         new = z - np.float32(rate) * grad
         t1 = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
         z, w, t = new + np.float32((t - 1.0) / t1) * (new - w), new, t1
@@ -124,6 +144,23 @@ class Model:
         self.within = {f: [i for i, x in enumerate(langs) if family(x) == f] for f in self.families}
         self.pairs = [(a, b) for f in self.families for k, a in enumerate(self.within[f]) for b in self.within[f][k + 1 :]]
 
+    def signs(self) -> np.ndarray:
+        """For each language and machine what the machine is to say of it: 1, -1, or 0 if it isn't asked."""
+        first = len(self.families)
+        out = np.zeros((len(self.langs), first + len(self.pairs)), np.float32)
+        if first > 1:
+            out[:, :first] = [[1.0 if family(x) == f else -1.0 for f in self.families] for x in self.langs]
+        for k, (a, b) in enumerate(self.pairs):
+            out[a, first + k], out[b, first + k] = 1.0, -1.0
+        return out
+
+    def points(self) -> np.ndarray:
+        """Each machine's weights and intercept in a row."""
+        return np.hstack([self.weights, self.bias[:, None].astype(np.float32)])
+
+    def at(self, points: np.ndarray) -> Model:
+        return Model(self.langs, np.ascontiguousarray(points[:, :-1], np.float32), points[:, -1].astype(np.float64))
+
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[str]) -> Model:
         x, some = features(texts)
@@ -176,6 +213,84 @@ def _fit(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.weights.tobytes()]), pa.array([m.bias.tolist()], pa.list_(pa.float64()))], names=["langs", "weights", "bias"])
 
 
+def _refit(model: Model, slopes: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Each machine's next point from its point and the whole table's gradient there; rows are the sample's."""
+    langs, points, signs = model.langs, model.points(), model.signs()
+
+    def run(group: pa.Table) -> pa.Table:
+        claim(__name__)
+        rows = group.select(["lang", "text"]).sort_by([("lang", "ascending"), ("text", "ascending")]).to_pydict()
+        x, some = features(rows["text"])
+        of = {lang: i for i, lang in enumerate(langs)}
+        x, sign = x[some], signs[[of[lang] for lang, s in zip(rows["lang"], some, strict=True) if s]]
+        out = points.copy()
+        for k in range(len(points)):
+            own = sign[:, k] != 0
+            if own.any():
+                w, b = svm(x[own], sign[own, k], start=points[k], slope=slopes[k])
+                out[k] = np.append(w, np.float32(b))
+        return pa.table([pa.array([out.astype("<f4").tobytes()])], names=["points"])
+
+    return run
+
+
+def _partial(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition's sums: of each machine and side the number of texts, their squared slacks, and the gradient of those."""
+    langs, weights, bias, signs = model.langs, model.weights, model.bias, model.signs()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
+        of, k = {lang: i for i, lang in enumerate(langs)}, len(weights)
+        n, loss, slope = np.zeros((2, k), np.int64), np.zeros((2, k)), np.zeros((2, k, BINS + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, some = features(part.column("text").to_pylist())
+                lang = np.array([of.get(x, -1) for x in part.column("lang").to_pylist()])
+                some &= lang >= 0
+                x, sign = x[some], signs[lang[some]]
+                slack = np.maximum(np.float32(0), np.float32(1) - sign * (x @ weights.T + bias).astype(np.float32))
+                for side, value in enumerate((1.0, -1.0)):
+                    own = sign == value
+                    part_slack = np.where(own, slack, np.float32(0))
+                    n[side] += own.sum(axis=0)
+                    loss[side] += np.square(part_slack, dtype=np.float64).sum(axis=0)
+                    slope[side, :, :-1] -= value * (part_slack.T @ x)
+                    slope[side, :, -1] -= value * part_slack.sum(axis=0, dtype=np.float64)
+        some = [(s, i) for s in range(2) for i in range(k) if n[s, i]]
+        if some:
+            at = TaskContext.get().partitionId()
+            columns = [pa.array([i for _, i in some], pa.int32()), pa.array([s for s, _ in some], pa.int32()), pa.array([at] * len(some), pa.int64())]
+            columns += [pa.array([int(n[x]) for x in some], pa.int64()), pa.array([float(loss[x]) for x in some]), pa.array([slope[x].tobytes() for x in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["machine", "side", "part", "n", "loss", "slope"])
+
+    return run
+
+
+def _total(group: pa.Table) -> pa.Table:
+    """A machine's sums over all partitions, both sides alike, in a fixed order."""
+    rows = group.sort_by([("side", "ascending"), ("part", "ascending")]).to_pylist()
+    loss, slope = 0.0, np.zeros(BINS + 1)
+    for side in range(2):
+        own = [r for r in rows if r["side"] == side]
+        n = max(1, sum(r["n"] for r in own))
+        loss += COST * 0.5 * sum(r["loss"] for r in own) / n
+        for r in own:
+            slope += COST / n * np.frombuffer(r["slope"])
+    return pa.table([pa.array([rows[0]["machine"]], pa.int32()), pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["machine", "loss", "slope"])
+
+
+def whole_loss(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> tuple[np.ndarray, np.ndarray]:
+    """Each machine's loss over all labelled texts, and the gradient of the loss without its share of the weights."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    sums = rows.mapInArrow(_partial(model), "machine int, side int, part long, n long, loss double, slope binary")
+    loss, slope = np.square(model.weights, dtype=np.float64).sum(axis=1) / 2, np.zeros((len(model.weights), BINS + 1))
+    for r in sums.groupBy("machine").applyInArrow(_total, "machine int, loss double, slope binary").collect():  # a row a machine
+        loss[r.machine] += r.loss
+        slope[r.machine] = np.frombuffer(bytes(r.slope))
+    return loss, slope
+
+
 def _sample(docs: DataFrame, text: str, lang: str, per_language: int, highest: bool) -> DataFrame:
     """(lang, text): of each language at most so many distinct texts of rows with the lowest (or highest) hashes."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("at")).where("lang is not null and text is not null")
@@ -189,27 +304,43 @@ def _sample(docs: DataFrame, text: str, lang: str, per_language: int, highest: b
     return rows.where(chosen).select("lang", "text").distinct()
 
 
-def least_score(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang", per_language: int = 100) -> float:
-    """Half of the least score of rightly predicted texts from the other end of the sample's order; 0 without any.
+def least_score(docs: DataFrame, model: Model, *, text: str = "text", lang: str = "lang") -> float:
+    """Half of the least score of all texts whose label is predicted; 0 without any.
 
     A text below it is unlike all that was learned.
     """
-    held = predict(_sample(docs, text, lang, per_language, True), model, "text", ("lang",))
-    return (held.where("lang = lang_pred").agg(F.min("score")).first()[0] or 0.0) / 2
+    held = predict(docs.where(F.col(lang).isNotNull()), model, text, (lang,))
+    return (held.where(F.col(lang) == F.col("lang_pred")).agg(F.min("score")).first()[0] or 0.0) / 2
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", usable: Column | None = None, per_language: int = 400) -> Model:
-    """A model of the documents that have a language (and are ``usable``).
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", usable: Column | None = None, per_language: int = 400, passes: int = PASSES) -> Model:
+    """A model of all documents that have a language (and are ``usable``).
 
-    ``per_language`` bounds the sample; a text that repeats counts once. Ids are not looked
-    at. No such document gives a model that answers ``und``.
+    ``per_language`` bounds the sample that training begins with, in which a text that repeats counts
+    once; in the passes over all texts it counts as often as it stands. No pass leaves the sample's
+    model. Ids are not looked at. No such document gives a model that answers ``und``.
     """
     if usable is not None:
         docs = docs.where(usable)
-    got = _sample(docs, text, lang, per_language, False).groupBy(F.lit("all")).applyInArrow(_fit, "langs array<string>, weights binary, bias array<double>").first()
+    docs = docs.where(F.col(text).rlike(r"\p{L}"))
+    sample = _sample(docs, text, lang, per_language, False)
+    got = sample.groupBy(F.lit("all")).applyInArrow(_fit, "langs array<string>, weights binary, bias array<double>").first()
     if got is None:
         return Model([], np.zeros((0, BINS), np.float32), np.zeros(0))
-    return Model(list(got.langs), np.frombuffer(bytes(got.weights), np.float32).reshape(-1, BINS), np.array(got.bias))
+    model = Model(list(got.langs), np.frombuffer(bytes(got.weights), np.float32).reshape(-1, BINS), np.array(got.bias))
+    if passes < 1 or len(model.langs) < 2:
+        return model
+    best, (least, slope) = model.points(), whole_loss(docs, model, text, lang)
+    step = np.ones((len(best), 1), np.float32)
+    for _ in range(passes - 1):
+        got = sample.groupBy(F.lit("all")).applyInArrow(_refit(model.at(best), slope), "points binary").first()
+        aim = np.frombuffer(bytes(got.points), "<f4").reshape(best.shape)
+        new = best + step * (aim - best)
+        loss, at = whole_loss(docs, model.at(new), text, lang)
+        better = loss < least
+        best, least, slope = np.where(better[:, None], new, best), np.where(better, loss, least), np.where(better[:, None], at, slope)
+        step = np.where(better[:, None], step, step / 2)
+    return model.at(best)
 
 
 def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
