@@ -7,11 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, language, mixing, pieces, suffix
-from lodestone.llm.common import Scratch, small_batches, table
+from lodestone.llm.common import Scratch, shrink, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def begin(spark: SparkSession) -> None:
+    """Before each stage: executors give back what the stage before needed."""
+    shrink(spark)
+    small_batches(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a missing label is filled in.
 
@@ -20,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the prediction is the document's own label. If no document has a label there is nothing to learn, and
     all with a letter stay.
     """
-    small_batches(spark)
+    begin(spark)
     model = language.train(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -32,25 +38,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
-    small_batches(spark)
+    begin(spark)
     return jaccard.representatives(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of repeated strings; a character cut in two goes as well."""
-    small_batches(spark)
+    begin(spark)
     rows = suffix.dedup(docs, keep=("doc_id", "lang", "source"))
     return rows.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per copy drawn."""
+    begin(spark)
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each drawn document's piece ids."""
-    small_batches(spark)
+    begin(spark)
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
 
 

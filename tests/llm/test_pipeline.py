@@ -84,3 +84,14 @@ def test_languages_unknown_and_tables_without_labels(spark, tmp_path):
     assert got == {x[0] for x in known}
     none = spark.createDataFrame([(*x[:2], None, *x[3:]) for x in known + odd] + [(5000, "12 !", None, "a", 0), (5001, None, None, "a", 0)], shape)
     assert {x.doc_id for x in corpus_pipeline.language_id(spark, none, "").collect()} == {x[0] for x in known + odd}
+
+
+def test_each_stage_begins_with_executors_that_gave_memory_back(spark):
+    """In one JVM the executor's full collections can be counted."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(1, "a b", None, "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        before = full.getCollectionCount()
+        stage(spark, docs, "")
+        assert full.getCollectionCount() > before, name
