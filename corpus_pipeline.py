@@ -10,6 +10,8 @@ from lodestone.llm import jaccard, language, mixing, pieces, suffix
 from lodestone.llm.common import Scratch, shrink, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A passage of more words that repeats goes, however few bytes it has.
+PASSAGE_WORDS = 50
 
 
 def begin(spark: SparkSession) -> None:
@@ -43,9 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes of repeated strings; a character cut in two goes as well."""
+    """Texts without repeated strings of 400 bytes, or of over 50 words in fewer bytes; a character cut in two goes as well."""
     begin(spark)
-    rows = suffix.dedup(docs, keep=("doc_id", "lang", "source"))
+    rows = suffix.dedup(docs, keep=("doc_id", "lang", "source"), words=PASSAGE_WORDS)
     return rows.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

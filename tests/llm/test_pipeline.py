@@ -95,3 +95,15 @@ def test_each_stage_begins_with_executors_that_gave_memory_back(spark):
         before = full.getCollectionCount()
         stage(spark, docs, "")
         assert full.getCollectionCount() > before, name
+
+
+def test_passages_of_over_50_words_go_in_few_bytes(spark):
+    r = random.Random(3)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, short = (" ".join("".join(r.choice("klmnop") for _ in range(5)) for _ in range(n)) for n in (52, 50))
+    assert len(passage) < 400
+    parts = [(own(40), own(40)) for _ in range(8)]
+    rows = [(i, f"{a}\n{passage if i < 4 else short} {b}", "en", "a", 0) for i, (a, b) in enumerate(parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert got == {i: f"{a}\n {b}" if i < 4 else rows[i][1] for i, (a, b) in enumerate(parts)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -87,3 +88,66 @@ def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "short")], "doc_id long, text string").selectExpr("*", "1 as did", "2 as th", "3 as spans", "4 as n_bytes").repartition(2)
     got = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in suffix.dedup(df).collect())
     assert got == [(0, 500, 1), (1, 500, 1), (1, 500, 1), (2, 0, 0)]
+
+
+def brute_words(texts, length, words):
+    """Windows of bytes as in ``brute``, and whole words under ``length`` bytes with white space alike."""
+    plain = [re.sub(rb"[\x09-\x0D]", b" ", t) for t in texts]
+    spans = [[m.span() for m in re.finditer(rb"[^ ]+", t)] for t in plain]
+    strings = [[(a[0], b[1]) for a, b in zip(s, s[words:]) if b[1] - a[0] < length] for s in spans]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    some = Counter(t[a:b] for t, s in zip(plain, strings) for a, b in s)
+    out = []
+    for t, p, s in zip(texts, plain, strings):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        for a, b in s:
+            if some[p[a:b]] > 1:
+                gone[a:b] = b"\1" * (b - a)
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        out.append((sum(gone), sum(g and not p for p, g in zip(bytes(1) + gone, gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def wordy(seed, n=150):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.choice([1, 2, 3, 5, 9])))
+    own = lambda most: [word() for _ in range(r.randrange(most))]
+    passages = [[word() for _ in range(r.randrange(14, 34))] for _ in range(25)]
+    rows = []
+    for _ in range(n):
+        if rows and r.random() < 0.15:
+            t = r.choice(rows)
+            i = r.randrange(len(t) + 1)
+            t = t[:i] + r.choice(["", "x", " ", "\n"]) + t[i:]
+        else:
+            t = ""
+            for _ in range(r.randrange(4)):
+                t += "".join(w + r.choice("      \n\t") for w in own(30)) + r.choice(["", " ", "q"]) + r.choice([" ", " ", " ", "\n"]).join(r.choice(passages)) + r.choice(["", " ", "\n", "s ", "  "])
+            t += " ".join(own(20))
+        rows.append(t)
+    return [*rows, "", " ", " ".join("a" * 30), "b " * 60]
+
+
+@pytest.mark.parametrize(("seed", "group"), [(1, 2000), (2, 2000), (3, 1), (4, 3)])
+def test_strings_of_words_against_brute_force(spark, seed, group):
+    texts = wordy(seed)
+    df = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(df, length=120, group=group, words=18).collect()}
+    want = brute_words([t.encode() for t in [*texts, ""]], 120, 18)
+    assert got == dict(zip([*range(len(texts)), 900], want, strict=True))
+    assert want != brute_words([t.encode() for t in [*texts, ""]], 120, 1000)
+
+
+@pytest.mark.parametrize("over", [0, 61, 119, 300])
+def test_strings_of_words_in_pieces(monkeypatch, over):
+    """Pieces of a long text have the anchors of the whole, once each."""
+    r = random.Random(over)
+    text = bytes(r.choice(b"abcd   \n") for _ in range(9 * 512 + over))
+    whole = suffix.anchors([text, text], 120, 18)
+    monkeypatch.setattr(suffix, "_CHUNK", 1024)
+    parts = suffix.anchors([text, text], 120, 18)
+    spots = lambda x: sorted((int(x[0][i]), int(x[1][i]), int(x[2][i]), int(x[3][i])) for i in range(len(x[0])))
+    assert spots(parts) == spots(whole) and len(spots(whole)) > 100
